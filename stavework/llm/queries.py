@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stavework.llm import percentiles as pct
 from stavework.llm.names import with_persons
+from stavework.llm.packing import count_tokens, pack
 from stavework.llm.sampling import matched_sample
 from stavework.llm.splits import assign_splits, connected_components, star_edges
 from stavework.llm.topn import top_n
@@ -35,8 +36,8 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _named_ids(column: str) -> Column:
-    """The piece ids in a sample_group: runs of words joined by hyphens, before any addition after a slash."""
-    return F.expr(rf"regexp_extract_all(lower({column}), '(?:^|[+&,; ]) *([a-z0-9_]+(?:-[a-z0-9_]+)+)', 1)")
+    """What can be a piece id in a sample_group: runs of words joined by hyphens."""
+    return F.expr(f"regexp_extract_all(lower({column}), '[a-z0-9_]+(?:-[a-z0-9_]+)+', 0)")
 
 
 def _links(pieces: DataFrame, groups: DataFrame) -> DataFrame:
@@ -225,3 +226,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_TOP_SQL + "SELECT score_id, part, count(*) AS n FROM k WHERE place <= 3 GROUP BY score_id, part")
 def p4_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _most_in_need(spark, sf_dir).groupBy("score_id", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- 6: containers
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {r["container_kind"]: int(r["capacity_tokens"]) for r in load(spark, sf_dir, "containers").limit(1001).collect()}
+    sizes = count_tokens(load(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+    return pack(sizes, "doc_id", "tokens", kinds)
+
+
+@query()
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which container holds which document, or piece of an oversize one."""
+    return _packed(spark, sf_dir)
+
+
+@query()
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each kind: containers, tokens and the share of the room that is used."""
+    kinds = load(spark, sf_dir, "containers")
+    used = _packed(spark, sf_dir).groupBy("container_kind").agg(F.countDistinct("container_no").alias("n_containers"), F.sum("units").alias("tokens"))
+    used = used.join(kinds, "container_kind")
+    return used.select("container_kind", "n_containers", "tokens", (F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("used"))
