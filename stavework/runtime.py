@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +71,23 @@ def _clean() -> None:
         shutil.rmtree(_own_dir, ignore_errors=True)
 
 
+class Shared:
+    """A Python object that every worker process reads once, sent as a broadcast of its own pickled form."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value: object = None
+
+    def __getstate__(self) -> dict:
+        return {"_sent": self._sent, "_value": None}
+
+    @property
+    def value(self):  # noqa: ANN201
+        if self._value is None:
+            self._value = cloudpickle.loads(self._sent.value)
+        return self._value
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
