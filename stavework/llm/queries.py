@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavework.llm import percentiles as pct
+from stavework.llm.leakage import leaked_items
 from stavework.llm.names import with_persons
 from stavework.llm.packing import count_tokens, pack
 from stavework.llm.sampling import matched_sample
 from stavework.llm.splits import assign_splits, connected_components, star_edges
+from stavework.llm.subjects import find_subjects, learn
 from stavework.llm.topn import top_n
 from stavework.runtime import latest, load
 
@@ -250,3 +252,28 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = _packed(spark, sf_dir).groupBy("container_kind").agg(F.countDistinct("container_no").alias("n_containers"), F.sum("units").alias("tokens"))
     used = used.join(kinds, "container_kind")
     return used.select("container_kind", "n_containers", "tokens", (F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("used"))
+
+
+# --- 7: evaluation items in documents
+
+
+@query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaked_items(docs, "doc_id", "text", load(spark, sf_dir, "benchmark"), "item_id", "text").distinct()
+
+
+# --- 8: subjects
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_subjects(docs, learn(docs, load(spark, sf_dir, "subject_labels"))).distinct()
+
+
+@query()
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by subject, as far as a subject of the list."""
+    known = load(spark, sf_dir, "subjects").select(F.lower(F.trim("subject")).alias("subject")).distinct()
+    return known.join(p8_found(spark, sf_dir), "subject", "left").groupBy("subject").agg(F.count("doc_id").alias("n_documents"))
