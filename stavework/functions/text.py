@@ -134,5 +134,5 @@ def stray(s: Column) -> Column:
 
 def ocr_languages(s: Column) -> Column:
     """``Deu, eng+deu`` as ``deu+eng``: distinct, in order; null if any code isn't three letters."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(F.lower(s), "[,+]"), F.trim), lambda x: x != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split(F.lower(s), "[,+]"), lambda x: F.trim(x)), lambda x: x != ""))
     return F.when((F.size(parts) > 0) & F.forall(parts, lambda x: x.rlike("^[a-z]{3}(_[a-z]+)?$")), F.array_join(parts, "+"))

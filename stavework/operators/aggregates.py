@@ -33,7 +33,7 @@ def reference_part(parts: DataFrame, keys: list[str], part: str, length: str, co
     """The part that others are aligned to: of the longest length that two parts share, else of the middle length
     (element n div 2 in order), the one of highest mean confidence; the first wins a draw."""
     w = Window.partitionBy(*keys)
-    shared = parts.groupBy(*keys, length).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy(*keys).agg(F.max(length).alias("__shared"))
+    shared = parts.groupBy(*keys, length).agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").groupBy(*keys).agg(F.max(length).alias("__shared"))
     mid = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(length)).alias("l")).select(*keys, F.element_at("l", (F.call_function("div", F.size("l").cast("bigint"), F.lit(2).cast("bigint")) + 1).cast("int")).alias("__mid"))
     d = parts.join(mid, keys).join(shared, keys, "left").filter(F.col(length) == F.coalesce("__shared", "__mid"))
     return d.withColumn("__r", F.row_number().over(w.orderBy(F.desc(F.coalesce(confidence, F.lit(0.0))), part))).filter("__r = 1").select(*keys, part, length)

@@ -215,7 +215,7 @@ def parse(data: bytes) -> dict:
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """One nested row a file, named by its path without folder and suffix; an unreadable file has ``error`` and no rows.
+    """One nested row a file, named by its path without folder and suffix; an unreadable file has ``error`` and no rows, one without a byte no row.
 
     ``tables`` flattens it. Whole files, any number; a folder or glob of .xml, .musicxml and .mxl.
     """

@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,12 +189,21 @@ def _notes(e: dict, voice: int, staff: int | None, duration: int, mark: str | No
     return rows
 
 
+def _plain(v):  # noqa: ANN001, ANN202
+    """Lists and dicts for what Arrow gives: arrays within rows within arrays."""
+    if isinstance(v, np.ndarray) or isinstance(v, list):
+        return [_plain(x) for x in v]
+    if isinstance(v, dict):
+        return {k: _plain(x) for k, x in v.items()}
+    return v.asDict(recursive=True) if hasattr(v, "asDict") else v
+
+
 def write_scores(scores: DataFrame) -> DataFrame:
     """(score_id, musicxml) of nested scores as ``read_scores`` gives them; scores with an error are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(r["score_id"], render({k: (v if isinstance(v, str) or v is None or k == "ticks_per_quarter" else [x if isinstance(x, dict) else x.asDict(recursive=True) for x in v]) for k, v in r.items()})) for r in pdf.to_dict("records")]
+            rows = [(r["score_id"], render({k: _plain(v) for k, v in r.items()})) for r in pdf.to_dict("records")]
             yield pd.DataFrame(rows, columns=["score_id", "musicxml"])
 
     return scores.filter("error IS NULL").select("score_id", "title", "composer", "part", "measure", "event", "chord", F.col("ticks_per_quarter")).mapInPandas(run, "score_id string, musicxml string")
