@@ -82,10 +82,10 @@ class Packer:
 
 
 def pack(items: DataFrame, key: str, size: str, containers: dict[str, int], block: int = BLOCK, refill: float = 0.9) -> DataFrame:
-    """(container_kind, container_no, key, piece, units) for every item and every kind of container.
+    """(container_kind, container, key, piece, units) for every item and every kind of container.
 
     An item larger than the capacity, and only such a one, is cut: into full containers and a last piece. Items fall
-    into blocks of about ``block`` by a hash of the key, so every block sees the same mix of sizes; a block is packed
+    into blocks of about ``block`` by a hash of their number, so every block sees the same mix of sizes; a block is packed
     in one task by sum of squares, the largest items first. What lies in containers filled below ``refill`` is then
     packed once more together, which is a small part of all. Blocks bound a task's memory whatever the input; no
     container spans blocks. Work is O(capacity) for each item.
@@ -97,16 +97,17 @@ def pack(items: DataFrame, key: str, size: str, containers: dict[str, int], bloc
         raise ValueError("1 to 1000 kinds of containers, each of at least one unit")
     kind = dict(items.dtypes)[key]
     base = items.select(F.col(f"`{key}`").alias("key"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
-    base = materialize(base, "pack-items")
+    # rows are numbered, so that equal keys are told apart; the written table keeps the numbers
+    base = materialize(base.withColumn("no", F.monotonically_increasing_id()), "pack-items")
     rows = base.count()
     kinds = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in containers.items()])
     if not containers:
         kinds = F.array().cast("array<struct<container_kind:string,capacity:bigint>>")
-    each = base.select("key", "size", F.explode(kinds).alias("c")).select("key", "size", "c.*")
+    each = base.select("no", "key", "size", F.explode(kinds).alias("c")).select("no", "key", "size", "c.*")
     n_blocks = max(1, -(-rows // block))
-    each = each.withColumn("block", F.pmod(F.xxhash64("key", "size"), F.lit(n_blocks)))
+    each = each.withColumn("block", F.pmod(F.xxhash64("no"), F.lit(n_blocks)))
     # full pieces of oversize items need no packing
-    whole = each.filter("size > capacity").select("container_kind", "block", "key", "size", "capacity", F.explode(F.expr("sequence(0L, (size - 1) div capacity - 1)")).alias("piece"))
+    whole = each.filter("size > capacity").select("container_kind", "no", "key", "capacity", F.explode(F.expr("sequence(0L, (size - 1) div capacity - 1)")).alias("piece"))
     left = each.select("container_kind", "capacity", "block", "key", F.when(F.col("size") > F.col("capacity"), F.expr("(size - 1) div capacity")).otherwise(F.lit(0)).alias("piece"), F.when(F.col("size") > F.col("capacity"), F.expr("(size - 1) % capacity + 1")).otherwise(F.col("size")).alias("units"))
     schema = f"container_kind string, capacity bigint, block bigint, bin bigint, fill bigint, key {kind}, piece bigint, units bigint"
 
@@ -124,11 +125,10 @@ def pack(items: DataFrame, key: str, size: str, containers: dict[str, int], bloc
     good = F.col("fill") >= F.lit(refill) * F.col("capacity")
     loose = first.filter(~good)
     n_loose = max(1, -(-loose.count() // (block * max(1, len(containers)))))
-    again = loose.select("container_kind", "capacity", F.pmod(F.xxhash64("key", "piece"), F.lit(n_loose)).alias("block"), "key", "piece", "units")
+    again = loose.select("container_kind", "capacity", F.pmod(F.xxhash64("key", "piece", "block", "bin"), F.lit(n_loose)).alias("block"), "key", "piece", "units")
     second = again.groupBy("container_kind", "block").applyInPandas(one, schema)
-    # container numbers: blocks of the first pass even, of the second odd; full pieces below zero
-    number = lambda odd: (F.col("block") * 2 + odd) * F.lit(1 << 24) + F.col("bin")
-    out = first.filter(good).select("container_kind", number(0).alias("container_no"), "key", "piece", "units")
-    out = out.unionByName(second.select("container_kind", number(1).alias("container_no"), "key", "piece", "units"))
-    full = whole.select("container_kind", (-1 - F.shiftrightunsigned(F.xxhash64("key", "size", "piece"), 1)).alias("container_no"), "key", "piece", F.col("capacity").alias("units"))
+    name = lambda *parts: F.concat_ws("-", *parts)
+    out = first.filter(good).select("container_kind", name(F.lit("a"), "block", "bin").alias("container"), "key", "piece", "units")
+    out = out.unionByName(second.select("container_kind", name(F.lit("b"), "block", "bin").alias("container"), "key", "piece", "units"))
+    full = whole.select("container_kind", name(F.lit("full"), "no", "piece").alias("container"), "key", "piece", F.col("capacity").alias("units"))
     return out.unionByName(full).withColumnRenamed("key", key)

@@ -159,7 +159,7 @@ def summarise(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFra
         if own:
             yield from _chunks(names, types, own)
 
-    return _rename(_merged(x.mapInArrow(local, f"{ddl}, {SUMMARY}"), names, ddl, k), names, keys)
+    return _rename(_merged(x.mapInArrow(local, f"{ddl}, {SUMMARY}" if ddl else SUMMARY), names, ddl, k), names, keys)
 
 
 def _chunks(names: list[str], types: list[pa.DataType], own: dict[tuple, Summary]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,8 @@ def _merged(parts: DataFrame, names: list[str], ddl: str, k: int, fan: int = 16)
     salted = parts.withColumn("share", share).repartition(*names, "share").sortWithinPartitions(*names, "share", F.desc("n"))
     by_share = salted.select(*names, "share", "n", "err", "weights", "buffers")
     first = by_share.mapInArrow(_runs(names, 1, k), schema)
-    return first.repartition(*names).sortWithinPartitions(*names, F.desc("n")).mapInArrow(_runs(names, 0, k), schema)
+    whole = first.repartition(*names) if names else first.repartition(1)
+    return whole.sortWithinPartitions(*names, F.desc("n")).mapInArrow(_runs(names, 0, k), schema)
 
 
 def _runs(names: list[str], more: int, k: int):

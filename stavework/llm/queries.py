@@ -249,7 +249,7 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each kind: containers, tokens and the share of the room that is used."""
     kinds = load(spark, sf_dir, "containers")
-    used = _packed(spark, sf_dir).groupBy("container_kind").agg(F.countDistinct("container_no").alias("n_containers"), F.sum("units").alias("tokens"))
+    used = _packed(spark, sf_dir).groupBy("container_kind").agg(F.countDistinct("container").alias("n_containers"), F.sum("units").alias("tokens"))
     used = used.join(kinds, "container_kind")
     return used.select("container_kind", "n_containers", "tokens", (F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("used"))
 

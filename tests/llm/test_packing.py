@@ -14,7 +14,7 @@ def test_pack(spark):
     out = pack(df, "key", "units", {"small": 100, "big": 1000}, block=1000).cache()
     for kind, c in (("small", 100), ("big", 1000)):
         o = out.filter(F.col("container_kind") == kind)
-        fill = o.groupBy("container_no").agg(F.sum("units").alias("u"))
+        fill = o.groupBy("container").agg(F.sum("units").alias("u"))
         assert fill.agg(F.max("u")).first()[0] <= c
         total = df.agg(F.sum("units")).first()[0]
         assert o.agg(F.sum("units")).first()[0] == total
@@ -26,7 +26,8 @@ def test_pack(spark):
     assert [r.units for r in out.filter("container_kind = 'small' AND key = 9004").orderBy("piece").collect()] == [100, 100]
     assert pack(df.filter("key < 0"), "key", "units", {"small": 100}).count() == 0
     with pytest.raises(ValueError):
-        pack(df, "key", "units", {})
+        pack(df, "key", "units", {"none": 0})
+    assert pack(df, "key", "units", {}).count() == 0
 
 
 def test_sum_of_squares():
