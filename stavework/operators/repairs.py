@@ -7,7 +7,7 @@ others are DataFrame expressions.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import combinations
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,11 +32,11 @@ def solutions(durations: list[int], starts: list[int], plain: list[bool], target
     n = len(durations)
     spots = [i for i in range(n - 2) if all(plain[i : i + 3]) and durations[i] == durations[i + 1] == durations[i + 2] and durations[i] and starts[i] % (2 * durations[i]) == 0]
     sets: list[tuple[int, ...]] = [()]
-    for k in range(1, len(spots) + 1):
-        more = [c for c in combinations(spots, k) if all(b - a >= 3 for a, b in zip(c, c[1:]))]
-        if not more or len(sets) > MOST_SOLUTIONS:
+    for chosen in sets:  # grows as it is read: each set with one spot more, fewest first, none overlapping
+        if len(sets) > MOST_SOLUTIONS:
             break
-        sets += more[:MOST_SOLUTIONS]
+        sets += [(*chosen, i) for i in spots if not chosen or i - chosen[-1] >= 3]
+    del sets[MOST_SOLUTIONS:]
     out: list[tuple[tuple[str, int], ...]] = []
     total = sum(durations)
     for chosen in sets:
@@ -46,9 +46,10 @@ def solutions(durations: list[int], starts: list[int], plain: list[bool], target
         if now == target and base:
             out.append(base)
         for i in range(n):
-            if i in inside or not durations[i]:
-                continue
             d = durations[i]
+            # one edit must make up the whole difference
+            if i in inside or not d or (target - now) not in (d // 2, d * 2 // 3 - d, d, d // 2 - d, d * 3 // 2 - d):
+                continue
             for name, new in (("dot", d * 3 // 2), ("undot", d * 2 // 3), ("double", d * 2), ("halve", d // 2)):
                 if now - d + new == target and (name != "undot" or not plain[i]) and (name != "dot" or plain[i]):
                     out.append((*base, (name, i)))
@@ -78,41 +79,44 @@ def rhythm_repairs(events: DataFrame, ticks: str = "duration_ticks") -> DataFram
     symbols count if two voices or more of the column have the same and no other has as many.
     """
 
-    def column(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part_ord", "staff_no", "voice_no", "ev_ord"])
-        voices = [(k, v) for k, v in pdf.groupby(["part_ord", "staff_no", "voice_no"], sort=True)]
+    def column(rows: list[dict]) -> list[dict]:
+        rows = sorted(rows, key=lambda r: (r["part_ord"], r["staff_no"], r["voice_no"], r["ev_ord"]))
+        voices = [(k, list(v)) for k, v in groupby(rows, key=lambda r: (r["part_ord"], r["staff_no"], r["voice_no"]))]
         trusted: set[int] = set()
         for _, v in voices:
-            d = v[ticks].tolist()
-            if sum(d) == v["expected"].iat[0]:
-                trusted.update(sum(d[:i]) for i in range(len(d)))
+            d = [int(e["d"]) for e in v]
+            if sum(d) == v[0]["expected"]:
+                trusted.update(accumulate([0, *d[:-1]]))
         found = []
         for k, v in voices:
-            d, want = [int(x) for x in v[ticks]], int(v["expected"].iat[0])
-            if sum(d) == want or (bool(v["edge"].iat[0]) and sum(d) < want):
+            d, want = [int(e["d"]) for e in v], int(v[0]["expected"])
+            if sum(d) == want or (v[0]["edge"] and sum(d) < want):
                 continue
-            starts = [sum(d[:i]) for i in range(len(d))]
-            conf = [1.0 if c is None or c != c else float(c) for c in v["confidence"]]
-            score = lambda dd: sum(sum(dd[:i]) in trusted for i in range(len(dd)))
+            conf = [1.0 if e["confidence"] is None or e["confidence"] != e["confidence"] else float(e["confidence"]) for e in v]
+            agree = lambda dd: sum(t in trusted for t in accumulate([0, *dd[:-1]]))
             ranked = sorted(
-                ((sum(name not in ("triplet",) for name, _ in s), -score(apply(d, s)), sum(conf[i] for _, i in s) / len(s), sum(name in ("double", "halve") for name, _ in s)), s) for s in solutions(d, starts, [bool(x) for x in v["plain"]], want)
+                ((sum(name != "triplet" for name, _ in s), -agree(apply(d, s)), sum(conf[i] for _, i in s) / len(s), sum(name in ("double", "halve") for name, _ in s)), s)
+                for s in solutions(d, list(accumulate([0, *d[:-1]])), [bool(e["plain"]) for e in v], want)
             )
             if not ranked or (len(ranked) > 1 and ranked[0][0] == ranked[1][0]):
                 continue
             best = ranked[0][1]
             single = any(name != "triplet" for name, _ in best)
-            found.append([k, best, not single or score(apply(d, best)) > score(d)])
+            found.append((k, best, not single or agree(apply(d, best)) > agree(d)))
         signs = Counter(tuple(sorted(s)) for _, s, ok in found if not ok and all(n in ("dot", "triplet") for n, _ in s))
         top = signs.most_common(2)
         winner = top[0][0] if top and top[0][1] >= 2 and (len(top) == 1 or top[0][1] > top[1][1]) else None
-        rows = [(pdf["score_id"].iat[0], int(pdf["m_idx"].iat[0]), *map(int, k), " ".join(f"{n}@{i}" for n, i in s), ok or tuple(sorted(s)) == winner) for k, s, ok in found]
-        return pd.DataFrame(rows, columns=["score_id", "m_idx", "part_ord", "staff_no", "voice_no", "edits", "confirmed"])
+        return [{"part_ord": k[0], "staff_no": k[1], "voice_no": k[2], "edits": " ".join(f"{n}@{i}" for n, i in s), "confirmed": ok or tuple(sorted(s)) == winner} for k, s, ok in found]
+
+    @F.pandas_udf("array<struct<part_ord:int,staff_no:int,voice_no:int,edits:string,confirmed:boolean>>")
+    def repaired(columns: pd.Series) -> pd.Series:
+        return pd.Series([column(list(c)) for c in columns])
 
     # only columns with a voice that doesn't fill go to Python
-    w = Window.partitionBy("score_id", "m_idx", "part_ord", "staff_no", "voice_no")
-    d = events.withColumn("__off", F.sum(ticks).over(w) != F.col("expected"))
-    d = d.withColumn("__any", F.bool_or("__off").over(Window.partitionBy("score_id", "m_idx"))).filter("__any").drop("__off", "__any")
-    return d.groupBy("score_id", "m_idx").applyInPandas(column, "score_id string, m_idx int, part_ord int, staff_no int, voice_no int, edits string, confirmed boolean")
+    voice = ["part_ord", "staff_no", "voice_no"]
+    d = events.groupBy("score_id", "m_idx", *voice).agg(F.sum(ticks).alias("__t"), F.max("expected").alias("__e"), F.collect_list(F.struct(*voice, "ev_ord", F.col(ticks).alias("d"), "plain", "confidence", "expected", "edge")).alias("__v"))
+    c = d.groupBy("score_id", "m_idx").agg(F.bool_or(F.col("__t") != F.col("__e")).alias("__off"), F.flatten(F.collect_list("__v")).alias("__c")).filter("__off")
+    return c.select("score_id", "m_idx", F.explode(repaired("__c")).alias("r")).select("score_id", "m_idx", "r.*")
 
 
 # --- X1, card I: parts that are one

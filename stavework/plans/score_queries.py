@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stavework.functions import music, rational, text
-from stavework.operators import aggregates, calibration, checks, matching, sets, state, windows
+from stavework.functions import labels, music, rational, text
+from stavework.operators import aggregates, calibration, checks, engraving, matching, repairs, sets, state, windows
 from stavework.runtime import latest, load
 
 QUERIES: dict = {}
@@ -523,3 +523,128 @@ def record_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of each record after all its deliveries."""
     r = load(spark, sf_dir, "raw_review").select("record_id", "received_at")
     return r.groupBy("record_id").agg(F.max("received_at").alias("received_at"), F.when(F.count(F.lit(1)) > 1, "again").otherwise("once").alias("status"))
+
+
+# --- excerpts, names, nearness
+
+
+@query(
+    f"""WITH {_M}, f AS (SELECT *, last_value(min_confidence IGNORE NULLS) OVER (PARTITION BY score_id, lower(trim(part)), staff ORDER BY m_idx, measure_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM m),
+    x AS (SELECT *, row_number() OVER (PARTITION BY score_id, lower(trim(part)), staff ORDER BY m_idx, measure_no) - 1 AS i FROM f WHERE TRY_CAST(m_number AS INT) BETWEEN 3 AND 6)
+    SELECT measure_no, CAST(i AS INT) AS new_idx, CASE WHEN i = 0 THEN c ELSE min_confidence END AS stated FROM x"""
+)
+def excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures printed 3 to 6 of every staff, the first stating what is in force."""
+    keys, order = ["score_id", "part", "staff"], ["m_idx", "measure_no"]
+    m = measures(spark, sf_dir, *keys, "m_idx", "m_number", "min_confidence").withColumn("part", F.lower(F.trim("part")))
+    d = windows.in_force(m, keys, order, "min_confidence", "c").filter(F.expr("try_cast(m_number AS INT)").between(3, 6))
+    d = d.withColumn("new_idx", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("int"))
+    return d.select("measure_no", "new_idx", F.when(F.col("new_idx") == 0, F.col("c")).otherwise(F.col("min_confidence")).alias("stated"))
+
+
+@query(
+    f"""WITH {_E}, p AS (SELECT score_id, part_ord, min(part_name) AS name FROM e GROUP BY ALL),
+    s AS (SELECT *, coalesce(nullif(trim(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'part') AS g FROM p),
+    w AS (SELECT *, count(*) OVER (PARTITION BY score_id, g) AS n, row_number() OVER (PARTITION BY score_id, g ORDER BY part_ord) AS k FROM s)
+    SELECT score_id, part_ord, CASE WHEN n > 1 THEN g || '-' || chr(CAST(96 + k AS INT)) ELSE g END AS slug FROM w"""
+)
+def part_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of parts."""
+    p = events(spark, sf_dir, "score_id", "part_ord", "part_name").groupBy("score_id", "part_ord").agg(F.min("part_name").alias("name"))
+    return engraving.part_slugs(p, "score_id").select("score_id", "part_ord", "slug")
+
+
+@query(
+    f"""WITH {_E}, c AS (SELECT score_id, part_ord, staff_no, m_idx * 241920 + t0 AS pos, event_no FROM e WHERE kind = 'chord'),
+    r AS (SELECT score_id, min(part_ord * 1000 + staff_no) AS s FROM c GROUP BY 1), f AS (SELECT c.* FROM c JOIN r ON c.score_id = r.score_id AND part_ord * 1000 + staff_no = s),
+    g AS (SELECT score_id, pos - pos % 1890 AS since, pos, event_no FROM f), l AS (SELECT score_id, since, arg_max(event_no, (pos, event_no)) AS event_no FROM g GROUP BY ALL), n AS (SELECT score_id, max(m_idx + 1) * 241920 AS fin FROM e GROUP BY 1)
+    SELECT score_id, CAST(since AS BIGINT) AS since, CAST(coalesce(lead(since) OVER (PARTITION BY score_id ORDER BY since), fin) AS BIGINT) AS until, event_no AS name FROM l JOIN n USING (score_id)"""
+)
+def chord_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chords of the first staff with any, on a grid, each until the next."""
+    t = timed(spark, sf_dir, "kind")
+    pos = (F.col("m_idx").cast("bigint") * 4 * TICKS + F.col("offset_ticks")).alias("pos_ticks")
+    c = t.filter("kind = 'chord'").select("score_id", "part_ord", "staff_no", pos, F.col("event_no").alias("name"))
+    c = c.groupBy("score_id", "part_ord", "staff_no", "pos_ticks").agg(F.max("name").alias("name"))
+    ends = t.groupBy("score_id").agg(((F.max("m_idx") + 1).cast("bigint") * 4 * TICKS).alias("end_ticks"))
+    return engraving.chord_spans(c, "score_id", ends, TICKS).withColumnRenamed("at", "since")
+
+
+@query(f"WITH {_E} SELECT CASE WHEN confidence IS NULL OR isnan(confidence) THEN 'unknown' WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS class, count(*) AS n FROM e GROUP BY 1")
+def confidence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P24, K16."""
+    return events(spark, sf_dir, "confidence").groupBy(labels.confidence_class(F.col("confidence")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SHORT = "|".join(sorted(labels.SHORT_NAMES, key=len, reverse=True))
+
+
+@query(
+    f"""WITH {_E}, d AS (SELECT DISTINCT trim(part_name) AS name FROM e WHERE part_name IS NOT NULL), p AS (SELECT name, lower(regexp_extract(name, '(?i)^\\s*({_SHORT})\\b\\s*(.*)$', 1)) AS base, regexp_extract(name, '(?i)^\\s*({_SHORT})\\b\\s*(.*)$', 2) AS more FROM d)
+    SELECT name, CASE WHEN base <> '' THEN rtrim(CASE base {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.SHORT_NAMES.items())} END || ' ' || more) END AS short_name,
+    CASE WHEN regexp_matches(lower(name), '{labels.OCTAVE_LOWER}') THEN -12 ELSE 0 END AS shift FROM p"""
+)
+def short_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short names of parts, and how far they sound from what is written."""
+    d = events(spark, sf_dir, "part_name").filter("part_name IS NOT NULL").select(F.trim("part_name").alias("name")).distinct()
+    none = F.lit(None)
+    return d.select("name", labels.short_name(F.col("name")).alias("short_name"), labels.sounding_shift(none.cast("int"), F.col("name"), none.cast("string")).alias("shift"))
+
+
+@query(
+    f"""WITH {_E}, {_M}, l AS (SELECT measure_no, score_id, bbox.page AS page, bbox.x AS x FROM m WHERE bbox IS NOT NULL), r AS (SELECT event_no, score_id, bbox.page AS page, bbox.x AS x FROM e WHERE bbox IS NOT NULL AND kind = 'rest'),
+    p AS (SELECT measure_no, event_no, abs(l.x - r.x) AS d FROM l JOIN r ON l.score_id = r.score_id AND l.page = r.page AND abs(l.x - r.x) <= 40), n AS (SELECT *, row_number() OVER (PARTITION BY measure_no ORDER BY d, event_no) AS k FROM p)
+    SELECT l.measure_no, event_no, round(d, 4) AS distance FROM l LEFT JOIN n ON l.measure_no = n.measure_no AND k = 1"""
+)
+def nearest_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To each measure's box the nearest rest of its page, within a distance, the first of equals."""
+    l = measures(spark, sf_dir, "score_id", "bbox").filter("bbox IS NOT NULL").select("measure_no", "score_id", "bbox.page", F.col("bbox.x").alias("at"))  # noqa: E741
+    r = events(spark, sf_dir, "score_id", "kind", "bbox").filter("bbox IS NOT NULL AND kind = 'rest'").select("event_no", "score_id", "bbox.page", "bbox.x")
+    n = matching.nearest(l, r, ["score_id", "page"], "at", "x", 40.0, "event_no", "measure_no")
+    return n.select("measure_no", F.col("nearest.event_no").alias("event_no"), F.round("distance", 4).alias("distance"))
+
+
+@query(
+    f"""WITH {_E}, {_M}, p AS (SELECT event_no, score_id, m_idx, bbox.page AS page, bbox.x + bbox.w / 2 AS px, bbox.y + bbox.h / 2 AS py FROM e WHERE bbox IS NOT NULL), b AS (SELECT measure_no, score_id, m_idx, bbox AS b FROM m WHERE bbox IS NOT NULL)
+    SELECT event_no, measure_no FROM p JOIN b ON p.score_id = b.score_id AND p.m_idx = b.m_idx AND p.page = b.b.page AND px >= b.x AND px <= b.x + b.w AND py >= b.y AND py <= b.y + b.h"""
+)
+def events_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose middle lies in a measure's box on the page."""
+    c = F.col("bbox")
+    p = events(spark, sf_dir, "score_id", "m_idx", "bbox").filter("bbox IS NOT NULL").select("event_no", "score_id", "m_idx", c["page"].alias("page"), (c["x"] + c["w"] / 2).alias("px"), (c["y"] + c["h"] / 2).alias("py"))
+    b = measures(spark, sf_dir, "score_id", "m_idx", "bbox").filter("bbox IS NOT NULL").withColumn("page", F.col("bbox.page"))
+    return matching.inside(p, b, ["score_id", "m_idx", "page"], "px", "py", "bbox").select("event_no", F.col("box_row.measure_no").alias("measure_no"))
+
+
+@query(f"WITH {_E}, k AS (SELECT score_id, max(m_idx) + 1 AS n FROM e WHERE part_ord = 0 GROUP BY 1) SELECT e.score_id, event_no, CAST(CASE WHEN part_ord = 0 THEN m_idx ELSE m_idx + coalesce(n, 0) END AS INT) AS m_idx FROM e LEFT JOIN k ON e.score_id = k.score_id")
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score's other parts set after its first, as a movement is."""
+    e = events(spark, sf_dir, "score_id", "part_ord", "m_idx")
+    out = sets.append_movement(e.filter("part_ord = 0"), e.filter("part_ord <> 0 OR part_ord IS NULL"))
+    return out.select("score_id", "event_no", F.col("m_idx").cast("int").alias("m_idx"))
+
+
+@query(f"WITH {_E}, {_N}, a AS (SELECT score_id, part_ord, avg({_P}) AS height FROM n GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY height DESC, part_ord) AS k, count(*) OVER (PARTITION BY score_id) AS n FROM (SELECT score_id, part_ord, round(height, 6) AS height FROM a)) SELECT score_id, part_ord, CAST(least(k, 4) AS INT) AS place FROM w WHERE k < 4 OR k = n OR n <= 4")
+def loudest_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most four parts of a score by height, the lowest always among them."""
+    n = notes(spark, sf_dir, "score_id", "part_ord")
+    h = n.groupBy("score_id", "part_ord").agg(F.round(F.avg(music.midi(F.col("step"), F.col("alter"), F.col("octave"))), 6).alias("height"))
+    return sets.loudest_voices(h, ["score_id"], "height", "part_ord").select("score_id", "part_ord", F.col("place").cast("int").alias("place"))
+
+
+@query()
+def rhythm_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that make voices fill their score's usual length; a search, so no SQL."""
+    t = timed(spark, sf_dir, "kind", "dots", "tuplet", "confidence").filter("NOT grace")
+    usual = aggregates.bounded_mode(checks.voice_lengths(t), ["score_id"], "total", 1, 2**62, "expected")
+    w = Window.partitionBy("score_id")
+    t = t.join(usual, "score_id").withColumn("plain", (F.col("kind") != "rest") & (F.col("dots") == 0) & F.col("tuplet").isNull()).withColumn("edge", (F.col("m_idx") == 0) | (F.col("m_idx") == F.max("m_idx").over(w)))
+    return repairs.rhythm_repairs(t)
+
+
+@query()
+def reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score's parts on two staves."""
+    t = timed(spark, sf_dir, "kind", "notes")
+    t = t.withColumn("midis", F.transform(F.coalesce("notes", F.array()), lambda n: music.midi(n["pitch"]["step"], n["pitch"]["alter_by"].cast("int"), n["pitch"]["octave"].cast("int")))).drop("notes")
+    return repairs.reduction(t)
