@@ -50,10 +50,15 @@ def rhythm_check(measures: DataFrame, voices: DataFrame) -> DataFrame:
 
 
 def range_check(notes: DataFrame) -> DataFrame:
-    """A5: notes outside their part's range. ``notes`` has part_name, abbreviation, step, alter, octave and any keys."""
-    r = notes.withColumn("__r", text.instrument_range(F.col("part_name"), F.col("abbreviation"))).withColumn("midi", music.midi(F.col("step"), F.col("alter"), F.col("octave")))
-    bad = r.filter((F.col("midi") < F.col("__r.lo")) | (F.col("midi") > F.col("__r.hi")))
-    return bad.select(*notes.columns, "midi", F.col("__r.lo").alias("lo"), F.col("__r.hi").alias("hi"), F.col("__r.rule").alias("rule")).withColumn("pitch", music.label(F.col("step"), F.col("alter"), F.col("octave")))
+    """A5: notes outside their part's range. ``notes`` has part_name, abbreviation, step, alter, octave and any keys.
+
+    The patterns are matched once for each distinct name, not for each note.
+    """
+    names = notes.select("part_name", "abbreviation").distinct().withColumn("__r", text.instrument_range(F.col("part_name"), F.col("abbreviation")))
+    names = names.select(F.col("part_name").alias("__n"), F.col("abbreviation").alias("__a"), "__r.*")
+    d = notes.join(names, F.col("part_name").eqNullSafe(F.col("__n")) & F.col("abbreviation").eqNullSafe(F.col("__a")))
+    d = d.withColumn("midi", music.midi(F.col("step"), F.col("alter"), F.col("octave"))).filter((F.col("midi") < F.col("lo")) | (F.col("midi") > F.col("hi")))
+    return d.withColumn("pitch", music.label(F.col("step"), F.col("alter"), F.col("octave"))).select(*notes.columns, "midi", "lo", "hi", "rule", "pitch")
 
 
 def alignment_check(measures: DataFrame) -> DataFrame:
