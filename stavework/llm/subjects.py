@@ -23,7 +23,7 @@ TELLING, MIN_CONFIDENCE, GAIN = 0.3, 0.5, 0.1
 MAX_RULES = 200_000
 
 _WORD = re.compile(r"[A-Z]+(?![^\W\d_A-Z])|[A-Z]?[^\W\d_A-Z]+")
-_COMMENT = re.compile(r"\s*(?://|#|--|/?\*|;|<!--|%|\"\"\")")
+_COMMENT = re.compile(r"\s*(?://|#|--|/?\*|;|<!--|%|>|\"\"\")")
 _NOTICE = re.compile(r"copyright|licen[cs]|all rights", re.I)
 _VOWELS = re.compile(r"[aeiou]")
 
@@ -126,6 +126,28 @@ def _lower(n: Column, of: Column) -> Column:
     return (n / of + z2 / (2 * of) - F.sqrt(z2 * (n / of * (1 - n / of) / of + z2 / (4 * of * of)))) / (1 + z2 / of)
 
 
+def _by_documents(transactions: DataFrame, rules: list[tuple[tuple[str, ...], str]]) -> dict[tuple[tuple[str, ...], str], float]:
+    """How sure rules of several words are, with each document counted once, as one may be long and wrongly labelled."""
+    if not rules:
+        return {}
+    starts: dict[str, list[int]] = defaultdict(list)
+    for k, (items, _) in enumerate(rules):
+        starts[items[0]].append(k)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = set()
+            for d, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                here = set(items)
+                got.update((k, d, "=" + rules[k][1] in here) for i in items for k in starts.get(i, ()) if here.issuperset(rules[k][0]))
+            if got:
+                k, d, y = zip(*sorted(got))
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(y)], names=["k", "doc_id", "y"])
+
+    n = transactions.mapInArrow(hits, "k bigint, doc_id bigint, y boolean").distinct().groupBy("k").agg(F.count_if("y").alias("n"), F.count(F.lit(1)).alias("df"))
+    return {rules[r["k"]]: float(r["sure"]) for r in n.select("k", _lower(F.col("n"), F.col("df")).alias("sure")).collect()}
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
     known = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).filter("doc_id IS NOT NULL AND subject <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
@@ -146,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, rest: str = "software", max_labell
     Transactions are runs of WINDOW telling words of one document, with its subject as a further item; telling is a
     word of which one subject has a share that is surely high. FP-growth runs in parallel over shards of conditional
     transactions; the frequent sets with a subject give rules, those hardly surer than a shorter one are pruned. A
-    rule's evidence is the lower end of the interval of its confidence. The score from which a subject counts is
+    rule's evidence is how far the lower end of its confidence's interval lies above even chances. The score from which a subject counts is
     where the fewest scores lie among those that give the labels of the same documents back about best (by F1). Only documents of one subject
     give transactions; labels may be wrong, twice, and of changing case. Without labels no rule is found and every
     document gets ``rest``.
@@ -173,9 +195,9 @@ def learn(docs: DataFrame, labels: DataFrame, rest: str = "software", max_labell
                 # equal transactions of one document count once
                 rows.update((d, ("=" + s, *sorted(set(kept[o : o + WINDOW])))) for o in range(0, len(kept), WINDOW))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([list(t) for _, t in sorted(rows)], pa.list_(pa.string()))], names=["items"])
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sorted(rows)], pa.int64()), pa.array([list(t) for _, t in sorted(rows)], pa.list_(pa.string()))], names=["doc_id", "items"])
 
-    transactions = materialize(one.select("doc_id", "subject", "words").mapInArrow(cut, "items array<string>"), "transactions")
+    transactions = materialize(one.select("doc_id", "subject", "words").mapInArrow(cut, "doc_id bigint, items array<string>"), "transactions")
     n = transactions.count()
     if not n:
         return Rules([], 1.0, rest)
@@ -189,13 +211,16 @@ def learn(docs: DataFrame, labels: DataFrame, rest: str = "software", max_labell
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
     found = []
+    longer = _by_documents(transactions, [(tuple(r["items"]), r["subject"]) for r in rows if len(r["items"]) > 1])
     for r in rows:
         items = tuple(r["items"])
         if len(items) > 1:
-            found.append((items, r["subject"], float(r["sure"])))
+            if longer.get((items, r["subject"]), 0.0) > MIN_CONFIDENCE:
+                found.append((items, r["subject"], longer[items, r["subject"]]))
         elif words[items[0]][0] == r["subject"] and words[items[0]][1] > MIN_CONFIDENCE:
             found.append((items, r["subject"], words[items[0]][1]))
-    found = sorted(prune(found))
+    # evidence: how far a rule is above even chances, so that common words weigh little
+    found = sorted((items, subject, 2 * sure - 1) for items, subject, sure in prune(found))
     return Rules(found, _threshold(known, Rules(found, 1.0, rest), rest), rest)
 
 
