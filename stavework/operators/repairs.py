@@ -27,34 +27,44 @@ PAGE_TEXT = r"(?i)copyright|©|all rights|www\.|https?:|\bop\.\s*\d|\bpage\b|\be
 
 
 def solutions(durations: list[int], starts: list[int], plain: list[bool], target: int) -> list[tuple[tuple[str, int], ...]]:
-    """Edits that make a voice fill ``target`` ticks: any triplets on three equal plain notes that start on a multiple of
-    twice the note, with at most one of dot, undot, double, halve. At most MOST_SOLUTIONS are counted."""
+    """Edits that make a voice fill ``target`` ticks: any triplets on three equal plain notes, with at most one of dot,
+    undot, double, halve. A triplet starts on a multiple of twice the note, after the edits before it. The walk stops when
+    it has found MOST_SOLUTIONS; those without a single edit are met, and count, in both budgets."""
     n = len(durations)
-    spots = [i for i in range(n - 2) if all(plain[i : i + 3]) and durations[i] == durations[i + 1] == durations[i + 2] and durations[i] and starts[i] % (2 * durations[i]) == 0]
-    sets: list[tuple[int, ...]] = [()]
-    for chosen in sets:  # grows as it is read: each set with one spot more, fewest first, none overlapping
-        if len(sets) > MOST_SOLUTIONS:
-            break
-        sets += [(*chosen, i) for i in spots if not chosen or i - chosen[-1] >= 3]
-    del sets[MOST_SOLUTIONS:]
+    moves: list[list[tuple[str | None, int, int, int]]] = []  # edit, events, ticks, single edits
+    for i, d in enumerate(durations):
+        here: list[tuple[str | None, int, int, int]] = [(None, 1, d, 0)]
+        if d and i + 3 <= n and all(plain[i : i + 3]) and d == durations[i + 1] == durations[i + 2]:
+            here.append(("triplet", 3, 2 * d, 0))  # three in the time of two
+        if d:
+            here += [("dot", 1, d * 3 // 2, 1)] if plain[i] else [("undot", 1, d * 2 // 3, 1)]
+            here += [("double", 1, d * 2, 1), ("halve", 1, d // 2, 1)]
+        moves.append(here)
+    start = starts[0] if starts else 0
+    # ends[left][i]: positions at event i from which the target is met with so many single edits left; the walk takes
+    # no other, so its work follows what it finds
+    ends = [[set() for _ in range(n)] + [{target}] for _ in range(2)]
+    for left in range(2):
+        for i in reversed(range(n)):
+            for edit, events, ticks, singles in moves[i]:
+                if singles <= left:
+                    ends[left][i].update(p - ticks for p in ends[left - singles][i + events] if p - ticks >= start and (edit != "triplet" or (p - ticks) % ticks == 0))
     out: list[tuple[tuple[str, int], ...]] = []
-    total = sum(durations)
-    for chosen in sets:
-        inside = {i + j for i in chosen for j in range(3)}
-        now = total - sum(durations[i] for i in chosen)  # three in the time of two
-        base = tuple(("triplet", i) for i in chosen)
-        if now == target and base:
-            out.append(base)
-        for i in range(n):
-            d = durations[i]
-            # one edit must make up the whole difference
-            if i in inside or not d or (target - now) not in (d // 2, d * 2 // 3 - d, d, d // 2 - d, d * 3 // 2 - d):
+    found = 0
+    for budget in range(2):
+        stack: list[tuple[int, int, int, tuple[tuple[str, int], ...]]] = [(0, start, budget, ())]
+        while stack and found < MOST_SOLUTIONS:
+            i, pos, left, edits = stack.pop()
+            if pos not in ends[left][i]:
                 continue
-            for name, new in (("dot", d * 3 // 2), ("undot", d * 2 // 3), ("double", d * 2), ("halve", d // 2)):
-                if now - d + new == target and (name != "undot" or not plain[i]) and (name != "dot" or plain[i]):
-                    out.append((*base, (name, i)))
-        if len(out) >= MOST_SOLUTIONS:
-            return out[:MOST_SOLUTIONS]
+            if i < n:
+                for edit, events, ticks, singles in reversed(moves[i]):
+                    if singles <= left and (edit != "triplet" or pos % ticks == 0):
+                        stack.append((i + events, pos + ticks, left - singles, (*edits, (edit, i)) if edit else edits))
+            elif edits:
+                found += 1
+                if not left:
+                    out.append(edits)
     return out
 
 

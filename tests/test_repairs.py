@@ -1,5 +1,7 @@
 """Repairs and combining on small cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from stavework.operators import combine, repairs
@@ -17,6 +19,50 @@ def test_rhythm(spark):
     assert got == [("s", 1, 1, 1, 1, "triplet@0", True)]
 
 
+def walked(durations, plain, target):
+    """The reference's walk, step by step and without a cap."""
+
+    def walk(i, pos, edits, budget):
+        if pos > target:
+            return
+        if i == len(durations):
+            if pos == target and edits:
+                yield edits
+            return
+        d = durations[i]
+        yield from walk(i + 1, pos + d, edits, budget)
+        if durations[i : i + 3] == [d] * 3 and all(plain[i : i + 3]) and pos % (2 * d) == 0:
+            yield from walk(i + 3, pos + 2 * d, (*edits, ("triplet", i)), budget)
+        if budget:
+            for name, new in (("dot", d * 3 // 2), ("undot", d * 2 // 3), ("double", d * 2), ("halve", d // 2)):
+                if (name != "dot" or plain[i]) and (name != "undot" or not plain[i]):
+                    yield from walk(i + 1, pos + new, (*edits, (name, i)), budget - 1)
+
+    return [e for budget in range(2) for e in walk(0, 0, (), budget) if sum(name != "triplet" for name, _ in e) == budget]
+
+
+def starts(durations):
+    return [sum(durations[:i]) for i in range(len(durations))]
+
+
+def test_rhythm_triplets_in_a_row(spark):
+    assert (("triplet", 0), ("triplet", 3)) in repairs.solutions([12] * 6, starts([12] * 6), [True] * 6, 48)
+    seven = repairs.solutions([12] * 7, starts([12] * 7), [True] * 7, 60)
+    assert (("triplet", 0), ("triplet", 3)) in seven and (("triplet", 0), ("triplet", 4)) not in seven
+    rng = random.Random(5)
+    for _ in range(300):
+        d = [rng.choice([12, 12, 12, 24, 36]) for _ in range(rng.randint(1, 8))]
+        plain, target = [x != 36 and rng.random() < 0.9 for x in d], rng.choice([48, 60, 72, 96])
+        want = walked(d, plain, target)
+        if len(want) < repairs.MOST_SOLUTIONS // 2:
+            assert repairs.solutions(d, starts(d), plain, target) == want
+    cols = "score_id string, m_idx int, part_ord int, staff_no int, voice_no int, ev_ord int, duration_ticks bigint, plain boolean, confidence double, expected bigint, edge boolean"
+    good = [("s", 1, 0, 1, 1, k, 24, True, 0.9, 48, False) for k in range(2)]
+    bad = [("s", 1, 1, 1, 1, k, 12, True, 0.9, 48, False) for k in range(6)]
+    got = [tuple(r) for r in repairs.rhythm_repairs(spark.createDataFrame(good + bad, cols)).collect()]
+    assert got == [("s", 1, 1, 1, 1, "triplet@0 triplet@3", True)]
+
+
 def test_parts(spark):
     parts = spark.createDataFrame([("s", 0, "Flute", 1, ["G"]), ("s", 1, "Fl.", 1, ["G"]), ("s", 2, "Piano", 2, ["G"]), ("s", 3, "Oboe", 1, ["G"])], "score_id string, part_ord int, name string, n_staves int, clefs array<string>")
     at = spark.createDataFrame([("s", 0, 0), ("s", 0, 1), ("s", 1, 2), ("s", 2, 0), ("s", 2, 2)], "score_id string, part_ord int, m_idx int")
