@@ -17,7 +17,7 @@ from stavework.functions import music
 from stavework.functions.text import names_compatible, stray
 from stavework.operators.sets import loudest_voices
 
-#: Edits counted over both budgets, and edits of the second kind that one voice may take.
+#: Solutions found over both budgets, from which a voice's search stops; what is tried isn't counted.
 MOST_SOLUTIONS = 64
 #: What page text in a lyric line looks like.
 PAGE_TEXT = r"(?i)copyright|©|all rights|www\.|https?:|\bop\.\s*\d|\bpage\b|\bedition\b"

@@ -63,6 +63,14 @@ def test_rhythm_triplets_in_a_row(spark):
     assert got == [("s", 1, 1, 1, 1, "triplet@0 triplet@3", True)]
 
 
+def test_rhythm_long_voices():
+    for n in (24, 48):  # sets of many triplets come last
+        every = tuple(("triplet", i) for i in range(0, n, 3))
+        assert repairs.solutions([12] * n, starts([12] * n), [True] * n, 8 * n) == [every]
+    # only solutions found count
+    assert len(repairs.solutions([12] * 48, starts([12] * 48), [True] * 48, 44 * 12)) == repairs.MOST_SOLUTIONS
+
+
 def test_parts(spark):
     parts = spark.createDataFrame([("s", 0, "Flute", 1, ["G"]), ("s", 1, "Fl.", 1, ["G"]), ("s", 2, "Piano", 2, ["G"]), ("s", 3, "Oboe", 1, ["G"])], "score_id string, part_ord int, name string, n_staves int, clefs array<string>")
     at = spark.createDataFrame([("s", 0, 0), ("s", 0, 1), ("s", 1, 2), ("s", 2, 0), ("s", 2, 2)], "score_id string, part_ord int, m_idx int")
