@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 import pyarrow as pa
@@ -104,8 +106,9 @@ def resolve(given: list[str]) -> dict[str, str | None]:
         for a in same[2:]:
             if find(a) != find(same[0]) and near(a, same[0]):
                 root[max(find(a), find(same[0]))] = min(find(a), find(same[0]))
-    for g in sorted(full, key=len):  # cut short without a dot
-        longer = {find(x) for x in full if len(x) > len(g) + 1 and x.startswith(g) and find(x) != find(g)} if len(full) < 500 else set()
+    for g in sorted(full, key=len):  # cut short without a dot; what begins with g follows it in order
+        begun = takewhile(lambda x: x.startswith(g), map(full.__getitem__, range(bisect_left(full, g), len(full))))
+        longer = {find(x) for x in begun if len(x) > len(g) + 1 and find(x) != find(g)}
         if len(longer) == 1:
             root[find(g)] = longer.pop()
     out: dict[str, str | None] = {g: find(g) for g in full}

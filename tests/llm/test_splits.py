@@ -95,6 +95,18 @@ def test_resolve():
     assert names.resolve(["fule", "tubin"]) == {"fule": "fule", "tubin": "tubin"}
 
 
+def test_resolve_cut_short_at_any_size():
+    many = ["".join(x) for x in itertools.product("bdfgklmn", "aeiou", "prst", "aeiou")]
+    r = names.resolve([*many, "joh", "johannes", "ma", "maximo", "mauritz"])
+    assert len(many) >= 500 and r["joh"] == "johannes" and r["ma"] == "ma"
+    # the same persons whether or not others share the surname
+    rng = random.Random(3)
+    for _ in range(100):
+        few = ["".join(rng.choice("xyz") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 12))]
+        alone, among = names.resolve(few), names.resolve([*few, *many])
+        assert {k: among[k] for k in alone} == alone
+
+
 def test_with_persons(spark):
     df = spark.createDataFrame([(1, "Ab Cdefg"), (2, "A. Cdefg"), (3, None), (4, "Xy Cdefg"), (1, "Ab Cdefg")], "k bigint, f string")
     got = {tuple(r) for r in names.with_persons(df, "k", "f", False).collect()}
