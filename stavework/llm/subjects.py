@@ -165,8 +165,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFram
 def learn(docs: DataFrame, labels: DataFrame, rest: str = "software", max_labelled: int = MAX_LABELLED) -> Rules:
     """Rules from labelled documents.
 
-    Transactions are runs of WINDOW telling words of one document, with its subject as a further item; telling is a
-    word of which one subject has a share that is surely high. FP-growth runs in parallel over shards of conditional
+    Transactions are all runs of WINDOW telling words of one document, beginning at every word as in scoring, with its
+    subject as a further item; telling is a word of which one subject has a share that is surely high. FP-growth runs in
+    parallel over shards of conditional
     transactions; the frequent sets with a subject give rules, those hardly surer than a shorter one are pruned. A
     rule's evidence is how far the lower end of its confidence's interval lies above even chances. The score from which a subject counts is
     where the fewest scores lie among those that give the labels of the same documents back about best (by F1). Only documents of one subject
@@ -193,7 +194,7 @@ def learn(docs: DataFrame, labels: DataFrame, rest: str = "software", max_labell
             for d, s, ws in zip(*(c.to_pylist() for c in b.columns)):
                 kept = [w for w in ws if w in telling]
                 # equal transactions of one document count once
-                rows.update((d, ("=" + s, *sorted(set(kept[o : o + WINDOW])))) for o in range(0, len(kept), WINDOW))
+                rows.update((d, ("=" + s, *sorted(set(kept[o : o + WINDOW])))) for o in range(max(1, len(kept) - WINDOW + 1)) if kept)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in sorted(rows)], pa.int64()), pa.array([list(t) for _, t in sorted(rows)], pa.list_(pa.string()))], names=["doc_id", "items"])
 
@@ -207,6 +208,17 @@ def learn(docs: DataFrame, labels: DataFrame, rest: str = "software", max_labell
     with_class = with_class.select(F.array_except("items", "c").alias("items"), F.substring(F.col("c")[0], 2, 1000).alias("subject"), F.col("freq").alias("n"))
     rules = with_class.join(sets, "items").select("items", "subject", "n", _lower(F.col("n"), F.col("freq")).alias("sure"))
     rules = rules.filter((F.size("items") == 1) | (F.col("sure") > MIN_CONFIDENCE))
+
+    def open_to_gain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without longer rules that prune() would drop however sure: n transactions are at most n documents, so the lower end is at most n / (n + z2)."""
+        for b in batches:
+            keep = []
+            for items, subject, n in zip(*(c.to_pylist() for c in b.columns[:3])):
+                own = max((words[w][1] for w in items if words[w][0] == subject), default=0.0)
+                keep.append(len(items) == 1 or own <= MIN_CONFIDENCE or own < n / (n + 1.645**2) - GAIN + 1e-9)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    rules = rules.mapInArrow(open_to_gain, rules.schema)
     rows = rules.limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")

@@ -39,6 +39,15 @@ def test_held_out(spark):
     assert sorted(rules.single)[0] and all(w not in rules.single for w in PLAIN)
 
 
+def test_pairs_at_every_place(spark):
+    # the fourth and fifth telling word: each also stands alone in other subjects, together they tell
+    of = {"x": ["alpha beta gamma peri quod"], "y": ["peri delta", "delta"], "z": ["quod epsil", "epsil"], "v": ["vau"], "w": ["wynn"]}
+    rows = [(k, t, s) for k, (s, t) in enumerate((s, ts[i % len(ts)]) for s, ts in of.items() for i in range(60))]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, subject string")
+    rules = learn(d.select("doc_id", "text"), d.select("doc_id", "subject"))
+    assert [s for s, _ in rules.pairs[frozenset(("peri", "quod"))]] == ["x"]
+
+
 def test_no_labels(spark):
     d = spark.createDataFrame([(1, "clef clef clef clef")], "doc_id bigint, text string")
     rules = learn(d, spark.createDataFrame([], "doc_id bigint, subject string"))
