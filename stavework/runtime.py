@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,11 +18,16 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) a folder of this machine."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests) a folder of this machine.
+
+    A folder of one machine holds a part of each table only, so a cluster without a shared folder is an error.
+    """
     global _own_dir
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="stavework-")
     return "file://" + _own_dir
@@ -95,8 +102,9 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """One row per ``key``: the one largest by ``order``, then by the row's remaining columns.
 
-    A hash aggregate with map-side combine, so a key delivered many times is never gathered in one task.
-    Rows with a null key count as one key. Maps can't be compared; such columns must be dropped before.
+    One aggregate with map-side combine, so a key delivered many times is never gathered in one task. Its buffer is a
+    struct, so Spark sorts by the key on either side of the shuffle; a hash aggregate would need the largest time
+    first and then a join with all rows, which sorts and shuffles more. Rows with a null key count as one key. Maps can't be compared; such columns must be dropped before.
     """
     rest = [c for c in df.columns if c != key and c not in order]
     row = F.struct(*[F.col(f"`{c}`") for c in [*order, *rest]])
@@ -122,3 +130,23 @@ def salted_rank(df: DataFrame, keys: list[str], order: Column, name: str = "rank
     for x in on:
         cond = cond & x
     return within.join(shift, cond, "left").withColumn(name, F.col("__r") + F.col("__shift")).select(*df.columns, name)
+
+
+#: A key with more than one row in so many is hot: there are at most so many hot keys, so their rows of a table by key can be broadcast.
+HOT_SHARE = 1000
+
+
+def join_by_key(rows: DataFrame, by_key: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of many rows with a table of one row a key, without a task that gets all rows of a hot key.
+
+    ``by_key`` has the columns ``keys`` under the names ``k_<key>``, and in ``count`` how many of ``rows`` the key has, of
+    ``total`` in all. Hot keys, fewer than HOT_SHARE by their definition, are joined by broadcast where their rows lie;
+    the rows of the others are shuffled by key. Null keys meet null keys. There must be a key.
+    """
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys])
+    is_hot = F.col(count) * HOT_SHARE > total
+    hot, cold = by_key.filter(is_hot), by_key.filter(~is_hot)
+    marks = hot.select(*[F.col(f"k_{k}").alias(f"h_{k}") for k in keys])
+    hot_row = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"h_{k}")) for k in keys])
+    rest = rows.join(F.broadcast(marks), hot_row, "left_anti")
+    return rows.join(F.broadcast(hot), same).unionByName(rest.join(cold, same)).drop(*[f"k_{k}" for k in keys])
