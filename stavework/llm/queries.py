@@ -29,6 +29,14 @@ def query(sql: str | None = None):
     return wrap
 
 
+def _few(table: DataFrame, most: int = 1000) -> list:
+    """All rows of a table of settings; more than ``most`` are an error, as they go to every task."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows of settings")
+    return rows
+
+
 # --- 1: splits that keep related records together
 
 
@@ -44,13 +52,12 @@ def _named_ids(column: str) -> Column:
 
 def _links(pieces: DataFrame, groups: DataFrame) -> DataFrame:
     """Edges between pieces of one composer, one engraver, or one sample_group."""
-    composers = with_persons(pieces.withColumn("head", F.substring_index("work", "/", 1)), "piece_no", "head", several=True)
-    engravers = with_persons(pieces, "piece_no", "engraver", several=False)
+    named = with_persons(pieces.withColumn("composer", F.substring_index("work", "/", 1)), "piece_no", {"composer": True, "engraver": False})
+    persons = named.select("key", F.concat_ws(":", "field", "person").alias("person"))
     ids = pieces.select(F.lower(F.trim("id")).alias("id"), "piece_no")
-    named = groups.select(F.col("sample_group").alias("g"), F.explode(F.array_distinct(_named_ids("sample_group"))).alias("id"))
-    together = named.join(ids, "id").select("piece_no", "g")
-    edges = star_edges(composers, "key", "person").union(star_edges(engravers, "key", "person"))
-    return edges.union(star_edges(together, "piece_no", "g"))
+    in_group = groups.select(F.col("sample_group").alias("g"), F.explode(F.array_distinct(_named_ids("sample_group"))).alias("id"))
+    together = in_group.join(ids, "id").select("piece_no", "g")
+    return star_edges(persons, "key", "person").union(star_edges(together, "piece_no", "g"))
 
 
 @query()
@@ -79,7 +86,7 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = connected_components(edges)
     of_piece = pieces.select("piece_no").join(root.withColumnRenamed("node", "piece_no"), "piece_no", "left").select("piece_no", F.coalesce("root", "piece_no").alias("root"))
     sizes = of_piece.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    shares = {r["split_name"]: float(r["share"]) for r in load(spark, sf_dir, "split_shares").limit(1000).collect()}
+    shares = {name: float(share) for name, share in _few(load(spark, sf_dir, "split_shares").select("split_name", "share"))}
     split = assign_splits(sizes, shares).select("root", "split")
     # components of samples only have no piece to count; a hash divides them in the shares
     u, upto, by_hash = F.pmod(F.xxhash64("root", F.lit(5)), F.lit(1_000_000)) / 1e6, 0.0, F.lit(None).cast("string")
@@ -234,7 +241,7 @@ def p4_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = {r["container_kind"]: int(r["capacity_tokens"]) for r in load(spark, sf_dir, "containers").limit(1001).collect()}
+    kinds = {kind: int(capacity) for kind, capacity in _few(load(spark, sf_dir, "containers").select("container_kind", "capacity_tokens"))}
     sizes = count_tokens(load(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
     return pack(sizes, "doc_id", "tokens", kinds)
 

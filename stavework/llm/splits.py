@@ -2,41 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stavework.runtime import drop_table, materialize, salted_rank
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)`` with an edge to another; ``root`` is the smallest of its component.
 
     Parallel hooking and shortcutting over a parent table. A round hooks every node to its smallest neighbour (a hash
     aggregate with map-side combine, so a node with a third of all edges is no hot task), then shortcuts
-    ``parent = parent[parent]`` by self joins until nothing changes, then contracts the edges to roots and drops loops
-    and copies. Each round at least halves the nodes of every component not yet done; tables are written to the
-    shared folder after each step, so lost executors cost no earlier round. Only counts reach the driver. Null ends
-    and loops give no rows; an empty table gives an empty result.
+    ``parent = parent[parent]``, two self joins between writes, until the last changes nothing, then contracts the edges
+    to roots and drops loops and copies. Each round at least halves the nodes of every component not yet done, so rounds
+    end by themselves; tables are written to the shared folder after each step, so lost executors cost no earlier
+    round. Only counts reach the driver. Null ends and loops give no rows; an empty table gives an empty result.
     """
     e = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a <> b")
     e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     of: DataFrame | None = None
-    for _ in range(max_rounds):
-        if e.isEmpty():
-            break
+    while not e.isEmpty():
         both = e.union(e.select("b", "a"))
-        parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("parent"))
-        parent = materialize(parent, "parent")
+        hooked = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("parent"))
+        parent = materialize(hooked, "parent")
         while True:
-            up = parent.select(F.col("node").alias("at"), F.col("parent").alias("above"))
-            jumped = parent.join(up, F.col("parent") == F.col("at"), "left")
-            jumped = materialize(jumped.select("node", F.coalesce("above", "parent").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")), "parent")
-            moved = not jumped.filter("moved").isEmpty()
+            jumped = materialize(_shortcut(_shortcut(parent).drop("moved"), parent), "parent")
             drop_table(parent)
-            parent_path = jumped
-            parent = jumped.select("node", "parent")
-            parent._stavework_path = parent_path._stavework_path  # type: ignore[attr-defined]
-            if not moved:
+            parent = jumped
+            if parent.filter("moved").isEmpty():
                 break
         p1 = parent.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         p2 = parent.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
@@ -45,19 +41,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         drop_table(e)
         e = left
         if of is None:
-            of = parent.select("node", F.col("parent").alias("root"))
-            of._stavework_path = parent._stavework_path  # type: ignore[attr-defined]
+            of = parent
         else:
             up = parent.select(F.col("node").alias("at"), F.col("parent").alias("above"))
-            new = materialize(of.join(up, F.col("root") == F.col("at"), "left").select("node", F.coalesce("above", "root").alias("root")), "roots")
+            new = materialize(of.join(up, F.col("parent") == F.col("at"), "left").select("node", F.coalesce("above", "parent").alias("parent")), "roots")
             drop_table(of)
             drop_table(parent)
             of = new
-    else:
-        raise RuntimeError(f"components not found in {max_rounds} rounds")
     if of is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return of
+    return of.select("node", F.col("parent").alias("root"))
+
+
+def _shortcut(nodes: DataFrame, parent: DataFrame | None = None) -> DataFrame:
+    """``nodes(node, parent)`` with each parent replaced by its own parent; ``moved`` where that is another."""
+    up = (nodes if parent is None else parent).select(F.col("node").alias("at"), F.col("parent").alias("above"))
+    jumped = nodes.join(up, F.col("parent") == F.col("at"), "left")
+    return jumped.select("node", F.coalesce("above", "parent").alias("parent"), (F.col("above") != F.col("parent")).alias("moved"))
 
 
 def star_edges(members: DataFrame, node: str, group: str) -> DataFrame:
@@ -67,48 +67,95 @@ def star_edges(members: DataFrame, node: str, group: str) -> DataFrame:
     return m.join(least, "g").filter("a <> b").select("a", "b")
 
 
-def choose_counts(sizes: dict[int, int], targets: dict[str, int], max_bits: int = 1 << 22) -> dict[str, dict[int, int]]:
+def choose_counts(sizes: dict[int, int], targets: dict[str, int]) -> dict[str, dict[int, int]]:
     """How many components of each size go to each split, for totals as near to ``targets`` as can be.
 
-    ``sizes`` maps a component size to how many components have it. The splits are filled from the smallest target
-    on by subset sums: bit t of a whole number says that total t can be reached; a multiplicity m enters as chunks of
-    1, 2, 4, ... copies, each one shift and or. The nearest total that can be reached is traced back through the bits
-    kept of each chunk. The largest target takes the rest. Where a target exceeds ``max_bits``, the largest components
-    that fit are placed first until the rest doesn't.
+    ``sizes`` maps a component size to how many components have it. The splits are filled from the smallest target on
+    (``nearest_total``); the largest target takes the rest.
     """
-    left = dict(sizes)
+    left = {s: k for s, k in sizes.items() if k > 0}
     out: dict[str, dict[int, int]] = {}
     names = sorted(targets, key=lambda s: (targets[s], s))
     for name in names[:-1]:
-        target, taken = targets[name], {}
-        for s in sorted(left, reverse=True):
-            if target <= max_bits:
-                break
-            k = min(left[s], (target - max_bits // 2) // s if target - max_bits // 2 > 0 else 0)
-            if k > 0:
-                taken[s] = k
-                target -= k * s
-        chunks = []
-        for s in sorted(left):
-            m, k = left[s] - taken.get(s, 0), 1
-            while m > 0 and s <= 2 * target + 1:
+        out[name] = nearest_total(left, targets[name])
+        for s, k in out[name].items():
+            left[s] -= k
+            if not left[s]:
+                del left[s]
+    out[names[-1]] = left
+    return out
+
+
+def nearest_total(sizes: dict[int, int], target: int) -> dict[int, int]:
+    """How many components of each size make the total nearest to ``target``.
+
+    First every size gives its part of the target: from the largest on, as many components as bring the total so far
+    nearest to the target's share of the records so far. So a split gets its share of the large components too, at any
+    number of records. What is missing or too much then is found by subset sums over the multiplicities: a
+    set of bits says which changes can be reached by adding and taking away components of the sizes seen so far, the
+    smallest first; a multiplicity enters as chunks of 1, 2, 4, ... copies, each one shifted or. For each change the
+    chunk that first reached it is kept, from which the choice is traced back. A change that hits the target ends the
+    search, mostly after the few smallest sizes, with bits for a few times the largest size looked at. Where none within
+    this span hits it, all changes are looked at: the result is always a nearest total. That last step takes 10 bytes
+    for each record (over the sizes' common divisor); it is for totals that can't be hit, as of few components.
+    """
+    if not sizes:
+        return {}
+    unit = math.gcd(*sizes)
+    have, aim = {s // unit: k for s, k in sizes.items()}, target / unit
+    total, got, sofar, base = sum(s * k for s, k in have.items()), 0, 0, {}
+    for s in sorted(have, reverse=True):
+        sofar += s * have[s]
+        base[s] = min(have[s], max(0, round((sofar * aim / total - got) / s)))
+        got += s * base[s]
+    missing = round(aim) - got
+    change = _changes(have, base, missing, None)
+    if change is None:
+        change = _changes(have, base, missing, aim - got)
+    return {s * unit: base[s] + change.get(s, 0) for s in have if base[s] + change.get(s, 0)}
+
+
+def _changes(have: dict[int, int], base: dict[int, int], missing: int, best: float | None) -> dict[int, int] | None:
+    """Components to add (or take away, below 0) by size; within a span for the exact change, or over all for the nearest to ``best``."""
+    if missing == 0 and best is None:
+        return {}
+    total = sum(s * k for s, k in have.items())
+    width = 0 if best is None else total
+    reach, first, chunks = np.ones(1, bool), np.full(1, -1, np.int32), []
+    for s in sorted(have):
+        more = max(2 * (abs(missing) + 2 * s), 0) if best is None else total
+        if more > width or len(reach) != 2 * width + 1:  # a wider span around no change
+            new = max(more, width)
+            pad = new - len(reach) // 2
+            reach, first = np.pad(reach, pad), np.pad(first, pad, constant_values=-1)
+            width = new
+        for sign, m in ((1, have[s] - base[s]), (-1, base[s])):
+            m, k = min(m, 2 * width // s), 1
+            while m > 0:
                 k = min(k, m)
-                chunks.append((s, k))
+                by = s * k
+                if by < len(reach):
+                    hit = reach[:-by] & ~reach[by:] if sign > 0 else reach[by:] & ~reach[:-by]
+                    at = np.flatnonzero(hit) + (by if sign > 0 else 0)
+                    reach[at] = True
+                    first[at] = len(chunks)
+                    chunks.append((s, sign * k))
                 m -= k
                 k *= 2
-        mask, bits, kept = (1 << (2 * target + 2)) - 1, 1, [1]
-        for s, k in chunks:
-            bits |= (bits << (s * k)) & mask
-            kept.append(bits)
-        best = next(t for d in range(2 * target + 3) for t in (target - d, target + d) if t >= 0 and bits >> t & 1)
-        for (s, k), before in zip(reversed(chunks), reversed(kept[:-1])):
-            if not before >> best & 1:
-                taken[s] = taken.get(s, 0) + k
-                best -= s * k
-        out[name] = {s: k for s, k in taken.items() if k}
-        for s, k in out[name].items():
-            left[s] -= k
-    out[names[-1]] = {s: k for s, k in left.items() if k}
+        if best is None and reach[width + missing]:
+            break
+    else:
+        if best is None:
+            return None
+    at = width + missing
+    if best is not None:
+        can = np.flatnonzero(reach)
+        at = int(can[np.argmin(np.abs(can - width - best))])
+    out: dict[int, int] = {}
+    while first[at] >= 0:
+        s, k = chunks[first[at]]
+        out[s] = out.get(s, 0) + k
+        at -= s * k
     return out
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -64,9 +65,17 @@ def test_totals_are_the_nearest(sizes):
     assert abs(sum(s * n for s, n in got["test"].items()) - targets["test"]) == best
 
 
-def test_large_targets_fall_back_to_the_largest_first():
-    got = choose_counts({1: 1000, 50: 30}, {"a": 2000, "b": 500}, max_bits=100)
-    assert sum(s * n for s, n in got["b"].items()) == 500
+def test_large_components_are_shared_in_proportion():
+    for singles in (20_000, 20_000_000):
+        got = choose_counts({singles // 200: 50, 1: singles}, {"train": singles, "test": singles // 4})
+        assert got["test"] == {singles // 200: 10, 1: singles // 5}
+    rng = random.Random(4)
+    sizes = dict(Counter(int(10 ** (rng.random() * 7)) for _ in range(3000)))
+    total = sum(s * k for s, k in sizes.items())
+    got = choose_counts(sizes, {"a": total - 2 * (total // 10), "b": total // 10, "c": total // 10})
+    large = {n: sum(s * k for s, k in g.items() if s > 1_000_000) for n, g in got.items()}
+    assert all(sum(s * k for s, k in got[n].items()) == total // 10 for n in "bc")
+    assert all(0.05 < large[n] / sum(large.values()) < 0.15 for n in "bc")
 
 
 def test_assign(spark):
@@ -107,7 +116,35 @@ def test_resolve_cut_short_at_any_size():
         assert {k: among[k] for k in alone} == alone
 
 
+def nearly(a, b):
+    """Restricted edit distance, by its table."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 1 or min(len(a), len(b)) < 3:
+        return False
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)] <= (2 if sorted(a) == sorted(b) else 1)
+
+
+def test_all_near_ways_join():
+    rng = random.Random(6)
+    for few, long, n in ((2, 6, 40), (3, 5, 200), (4, 7, 60)) * 4:
+        ways = sorted({"".join(rng.choice("abcd"[:few]) for _ in range(rng.randint(2, long))) for _ in range(n)})
+        pairs = [(a, b) for a, b in itertools.combinations(ways, 2) if nearly(a, b)]
+        roots = lambda edges: dict(plain([*edges, *((w, w + "!") for w in ways)]))
+        assert roots(names._near_pairs(ways)) == roots(pairs)
+
+
+def test_long_names():
+    assert len(set(names.resolve(["x" * 20_000, "x" * 19_999 + "y", "ab"]).values())) == 2
+
+
 def test_with_persons(spark):
-    df = spark.createDataFrame([(1, "Ab Cdefg"), (2, "A. Cdefg"), (3, None), (4, "Xy Cdefg"), (1, "Ab Cdefg")], "k bigint, f string")
-    got = {tuple(r) for r in names.with_persons(df, "k", "f", False).collect()}
-    assert got == {(1, "cdefg|ab"), (2, "cdefg|ab"), (4, "cdefg|xy")}
+    df = spark.createDataFrame([(1, "Ab Cdefg", None), (2, "A. Cdefg", "Cdefg"), (3, None, None), (4, "Xy Cdefg", ""), (1, "Ab Cdefg", None), (5, "", "Ab Cdefg & Xy Cdefg")], "k bigint, f string, written string")
+    got = {tuple(r) for r in names.with_persons(df, "k", {"f": False, "written": True}).collect()}
+    assert got == {(1, "f", "cdefg|ab"), (2, "f", "cdefg|ab"), (4, "f", "cdefg|xy"), (5, "written", "cdefg|ab"), (5, "written", "cdefg|xy")}
