@@ -174,7 +174,7 @@ def _all_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sample(spark: SparkSession, sf_dir: str):
-    return matched_sample(_all_pieces(spark, sf_dir), "piece_no", ["category", "language"], load(spark, sf_dir, "category_targets"))
+    return matched_sample(_all_pieces(spark, sf_dir), "piece_no", [(["category", "language"], load(spark, sf_dir, "category_targets"))])
 
 
 def _spell_sql(column: str, table: dict[str, tuple[str, ...]], missing: str) -> str:
@@ -196,12 +196,14 @@ _NEEDS_SQL = f"""
 
 @query(_NEEDS_SQL + "SELECT category, language FROM r WHERE available < needed")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample(spark, sf_dir).report.filter("NOT met").select("category", "language")
+    """Targets that the repaired sample doesn't meet, but for those that lack rows only as all needs, each rounded up, exceed its size."""
+    return _sample(spark, sf_dir).reports[0].filter("NOT met AND available < needed").select("category", "language")
 
 
 @query(_NEEDS_SQL + "SELECT category, language, needed, available, available >= needed AS met FROM r")
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sample(spark, sf_dir).report.select("category", "language", "needed", "available", "met")
+    """What the repaired sample holds; SQL says what it can hold."""
+    return _sample(spark, sf_dir).reports[0].select("category", "language", "needed", "available", "met")
 
 
 @query()
@@ -209,6 +211,29 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark, sf_dir).rows
 
 
+@query(
+    _NEEDS_SQL
+    + """, one AS (SELECT 'category' AS field, category AS value, sum(share) AS share, sum(min_rows) AS min_rows FROM category_targets GROUP BY category
+        UNION ALL SELECT 'language', language, sum(share), sum(min_rows) FROM category_targets GROUP BY language),
+    h AS (SELECT 'category' AS field, category AS value, count(*) AS available FROM c GROUP BY category UNION ALL SELECT 'language', language, count(*) FROM c GROUP BY language),
+    w AS (SELECT one.*, coalesce(h.available, 0) AS available, greatest(CAST(ceil(CAST(share AS DECIMAL(18, 6)) * ((SELECT count(*) FROM p) // 5)) AS BIGINT), CAST(min_rows AS BIGINT)) AS needed
+        FROM one LEFT JOIN h USING (field, value))
+    SELECT field, value, needed, available, true AS floor_kept, true AS near FROM w"""
+)
+def p3_single_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets on the category alone and on the language alone at once; near: within a row for each target of what is there and asked for."""
+    t = load(spark, sf_dir, "category_targets")
+    both = [([c], t.groupBy(c).agg(F.sum(F.col("share").cast("decimal(20,10)")).alias("share"), F.sum("min_rows").alias("min_rows"))) for c in ("category", "language")]
+    reports, out = matched_sample(_all_pieces(spark, sf_dir), "piece_no", both).reports, None
+    for (on, table), report in zip(both, reports):
+        r = report.join(F.broadcast(table), on).select(
+            F.lit(on[0]).alias("field"), F.col(on[0]).alias("value"), "needed", "available",
+            (F.col("taken") >= F.least("available", "min_rows")).alias("floor_kept"), (F.col("taken") >= F.least("available", "needed") - F.lit(17)).alias("near"),
+        )
+        out = r if out is None else out.union(r)
+    return out
+
+
 # --- 4: the first N of every group
 
 _TOP_SQL = """
