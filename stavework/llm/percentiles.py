@@ -11,10 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stavework.runtime import drop_table, materialize
+
 #: Values of a buffer. The rank error of n values is at most about log2(n / K) / (2 K) of n.
 K = 2048
 
-SUMMARY = "n bigint, err bigint, weights array<bigint>, buffers array<array<double>>"
+#: ``buffers`` holds the loose values and then the full buffers one after the other, ``weights`` one weight for each of these.
+SUMMARY = "n bigint, err bigint, weights array<bigint>, buffers array<double>"
+#: Summaries that one step of the tree merges to one.
+FAN = 16
 
 
 class Summary:
@@ -82,38 +87,43 @@ class Summary:
         upto = np.cumsum(w[order])
         return [float(v[order][min(np.searchsorted(upto, max(1, int(np.ceil(q * self.n)))), len(v) - 1)]) for q in qs]
 
-    def row(self) -> tuple[int, int, list[int], list[np.ndarray]]:
+    def row(self) -> tuple[int, int, list[int], np.ndarray]:
         bufs = [(1 << level, b) for level in sorted(self.full) for b in self.full[level]]
-        if len(self.loose):
-            bufs.insert(0, (0, self.loose))
-        return self.n, self.err, [w for w, _ in bufs], [b for _, b in bufs]
+        return self.n, self.err, [w for w, _ in bufs], np.concatenate([self.loose, *(b for _, b in bufs)])
 
     @staticmethod
-    def of(n: int, err: int, weights: list[int], buffers: list, k: int = K) -> Summary:
+    def of(n: int, err: int, weights: np.ndarray, buffers: np.ndarray, k: int = K) -> Summary:
         s = Summary(k)
         s.n, s.err = int(n), int(err)
-        for w, b in zip(weights, buffers):
-            b = np.asarray(b, float)
-            if w == 0:
-                s.loose = b
-            else:
-                s.full[int(w).bit_length() - 1].append(b)
+        first = len(buffers) - k * len(weights)
+        s.loose = buffers[:first]
+        for i, w in enumerate(weights):
+            s.full[int(w).bit_length() - 1].append(buffers[first + i * k : first + (i + 1) * k])
         return s
 
 
 def _arrow(keys: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows))
+    m = len(types)
     arrays = [pa.array(c, t) for c, t in zip(cols, types)]
-    n = len(types)
-    arrays += [pa.array(cols[n], pa.int64()), pa.array(cols[n + 1], pa.int64()), pa.array(cols[n + 2], pa.list_(pa.int64())), pa.array([[b.tolist() for b in x] for x in cols[n + 3]], pa.list_(pa.list_(pa.float64())))]
+    offsets = np.concatenate(([0], np.cumsum([len(b) for b in cols[m + 3]])))
+    buffers = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(cols[m + 3])))
+    arrays += [pa.array(cols[m], pa.int64()), pa.array(cols[m + 1], pa.int64()), pa.array(cols[m + 2], pa.list_(pa.int64())), buffers]
     return pa.RecordBatch.from_arrays(arrays, names=[*keys, "n", "err", "weights", "buffers"])
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as views of its values."""
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    at = at - at[0]
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def summarise(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFrame:
     """(keys..., n, err, weights, buffers): one summary for each key, from which ``percentiles`` reads or ``combine`` merges.
 
     Every task first summarises its own rows of each key, so that a key with a third of all rows sends bounded buffers
-    instead of values; these are merged in a tree. Null and NaN are no values; a key without any value gives no row.
+    instead of values; these are merged in a tree (``combine``). Null and NaN are no values; a key without any value gives no row.
     Null keys are keys. Infinities are values. Extra columns are ignored.
     """
     names = [f"k{i}" for i in range(len(keys))]
@@ -162,57 +172,89 @@ def summarise(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFra
     return _rename(_merged(x.mapInArrow(local, f"{ddl}, {SUMMARY}" if ddl else SUMMARY), names, ddl, k), names, keys)
 
 
+def _batch_rows(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """Rows in runs of bounded size, as one key's buffers can be a hundred times another's."""
+    start, size = 0, 0
+    for i, r in enumerate(rows):
+        size += len(r[-1])
+        if size >= 1 << 20:
+            yield rows[start : i + 1]
+            start, size = i + 1, 0
+    if start < len(rows):
+        yield rows[start:]
+
+
 def _chunks(names: list[str], types: list[pa.DataType], own: dict[tuple, Summary]) -> Iterator[pa.RecordBatch]:
     rows = [(*key, *s.row()) for key, s in own.items()]
-    for o in range(0, len(rows), 500):
-        yield _arrow(names, types, rows[o : o + 500])
+    for some in _batch_rows(rows):
+        yield _arrow(names, types, some)
 
 
 def _rename(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     return df.select(*[F.col(a).alias(c) for a, c in zip(names, keys)], "n", "err", "weights", "buffers")
 
 
-def _merged(parts: DataFrame, names: list[str], ddl: str, k: int, fan: int = 16) -> DataFrame:
-    """Merges summaries of equal keys as they stream by in key order, so that a task holds one summary at a time.
+def _merged(parts: DataFrame, names: list[str], ddl: str, k: int) -> DataFrame:
+    """Merges summaries of equal keys in a tree until each key has one.
 
-    Full summaries of a key (of a hot one every task sends some) are first merged in ``fan`` shares, then the shares.
+    ``parts`` is written to the shared folder, so that the number of summaries of the most frequent key can be counted (one
+    number reaches the driver); it says how many steps the tree needs. A step spreads the summaries of each key, small
+    or full, over as many random shares as leave about FAN to each, and merges each share as it streams by in key order:
+    a task holds one summary at a time, and no task gets more of a hot key than its shares.
     """
-
     schema = f"{ddl}, {SUMMARY}" if ddl else SUMMARY
-    share = F.when(F.col("n") < k, F.lit(0)).otherwise(F.pmod(F.xxhash64("n", F.element_at("buffers", 1)), F.lit(fan))).cast("int")
-    salted = parts.withColumn("share", share).repartition(*names, "share").sortWithinPartitions(*names, "share", F.desc("n"))
-    by_share = salted.select(*names, "share", "n", "err", "weights", "buffers")
-    first = by_share.mapInArrow(_runs(names, 1, k), schema)
-    whole = first.repartition(*names) if names else first.repartition(1)
-    return whole.sortWithinPartitions(*names, F.desc("n")).mapInArrow(_runs(names, 0, k), schema)
+    held = materialize(parts.withColumn("no", F.monotonically_increasing_id()), "summaries")
+    most = held.groupBy(*names).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
+    step = held
+    while most > FAN:
+        shares = -(-most // FAN)
+        salted = step.withColumn("share", F.pmod(F.xxhash64("no"), F.lit(shares)).cast("int"))
+        by_share = salted.repartition(*names, "share").sortWithinPartitions(*names, "share", F.desc("n"), "no").select(*names, "share", "n", "err", "weights", "buffers")
+        # written, so that a step run again after a loss deals out the same numbers
+        step, before = materialize(by_share.mapInArrow(_runs(names, 1, k), schema).withColumn("no", F.monotonically_increasing_id()), "summaries"), step
+        drop_table(before)
+        most = shares
+    whole = step.repartition(*names) if names else step.repartition(1)
+    whole = whole.sortWithinPartitions(*names, F.desc("n"), "no").select(*names, "n", "err", "weights", "buffers")
+    return whole.mapInArrow(_runs(names, 0, k), schema)
 
 
 def _runs(names: list[str], more: int, k: int):
     """Merges runs of rows with equal keys; ``more`` columns after the keys also tell runs apart and are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, now, s, types, done = len(names), None, None, None, []
+        m, now, held, s, types, done, size = len(names), None, None, None, None, [], 0
+
+        def close() -> None:
+            nonlocal size
+            done.append((*now[:m], *(s.row() if s is not None else held)))
+            size += len(done[-1][-1])
+
         for b in batches:
             types = [f.type for f in b.schema][:m]
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if s is None or row[: m + more] != now:
-                    if s is not None:
-                        done.append((*now[:m], *s.row()))
-                    now, s = row[: m + more], Summary.of(*row[m + more :], k)
-                else:
-                    s.merge(Summary.of(*row[m + more :], k))
-            if len(done) >= 500:
+            cols = [c.to_pylist() for c in b.columns[: m + more + 2]]
+            for row in zip(*cols, _lists(b.column(m + more + 2)), _lists(b.column(m + more + 3))):
+                key, own = row[: m + more], row[m + more :]
+                if now is not None and key == now:
+                    if s is None:
+                        s = Summary.of(*held, k)
+                    s.merge(Summary.of(*own, k))
+                    continue
+                if now is not None:
+                    close()
+                now, held, s = key, own, None  # most keys have one summary, which passes as it is
+            if size >= 1 << 20 or len(done) >= 10_000:
                 yield _arrow(names, types, done)
-                done = []
-        if s is not None:
-            done.append((*now[:m], *s.row()))
+                done, size = [], 0
+        if now is not None:
+            close()
             yield _arrow(names, types, done)
 
     return run
 
 
 def combine(summaries: DataFrame, keys: list[str], k: int = K) -> DataFrame:
-    """Merges summaries (of days, partitions, earlier runs) to one for each of ``keys``, a part of their key columns."""
+    """Merges summaries (of days, partitions, earlier runs) to one for each of ``keys``, a part of their key columns, in a tree."""
     names = [f"k{i}" for i in range(len(keys))]
     x = summaries.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(keys, names)], "n", "err", "weights", "buffers")
     ddl = ", ".join(f"{a} {f.dataType.simpleString()}" for a, f in zip(names, x.schema.fields))
@@ -230,7 +272,7 @@ def percentiles(summaries: DataFrame, qs: dict[str, float], k: int = K) -> DataF
 
     @F.pandas_udf(f"{fields}, rank_error double")
     def read(n: pd.Series, err: pd.Series, w: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [Summary.of(*r, k).quantiles(list(qs.values())) for r in zip(n, err, w, b)]
+        rows = [Summary.of(x, e, ws, np.asarray(bs, float), k).quantiles(list(qs.values())) for x, e, ws, bs in zip(n, err, w, b)]
         out = pd.DataFrame(rows, columns=list(qs), dtype=float)
         out["rank_error"] = (err / n).to_numpy(float)
         return out

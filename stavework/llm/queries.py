@@ -134,6 +134,24 @@ def p2_measure_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pct.percentiles(pct.summarise(m, ["part_name"], "confidence"), QS)
 
 
+@query("""
+    WITH e AS (SELECT lower(trim(part_name)) AS part_name, confidence FROM (SELECT *, row_number() OVER (PARTITION BY event_no ORDER BY loaded_at DESC) AS rn FROM score_event) WHERE rn = 1)
+    SELECT part_name, count(*) AS n_values, true AS within_error FROM e WHERE confidence IS NOT NULL AND NOT isnan(confidence) GROUP BY part_name""")
+def p2_within_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the true ranks of all percentiles given lie within the stated error."""
+    e = _events(spark, sf_dir).filter("confidence IS NOT NULL AND NOT isnan(confidence)").select("part_name", "confidence")
+    p = p2_part_percentiles(spark, sf_dir).withColumnRenamed("part_name", "p")
+    both = e.join(p, F.col("part_name").eqNullSafe(F.col("p")))
+    below = [F.count_if(F.col("confidence") < F.col(q)).alias(f"below_{q}") for q in QS]
+    upto = [F.count_if(F.col("confidence") <= F.col(q)).alias(f"upto_{q}") for q in QS]
+    n = both.groupBy("part_name").agg(F.count(F.lit(1)).alias("n"), F.first("n_values").alias("n_values"), F.first("rank_error").alias("err"), *below, *upto)
+    right = F.col("n") == F.col("n_values")
+    for q, share in QS.items():
+        rank = F.greatest(F.ceil(F.col("n") * share), F.lit(1))
+        right = right & (F.col(f"below_{q}") + 1 - rank <= F.col("err") * F.col("n") + 1e-6) & (rank - F.col(f"upto_{q}") <= F.col("err") * F.col("n") + 1e-6)
+    return n.select("part_name", "n_values", right.alias("within_error"))
+
+
 # --- 3: a sample that matches shares
 
 #: Spellings of categories and languages, lower case without blanks, dots and hyphens.
@@ -286,6 +304,17 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.select("container_kind", "n_containers", "tokens", (F.col("tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("used"))
 
 
+@query("SELECT container_kind, (SELECT count(*) FROM documents) AS n_documents, 0 AS n_overfull, 0 AS n_cut_without_need FROM containers")
+def p6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is in containers of each kind, none is overfull, and no document that fits is cut."""
+    kinds = load(spark, sf_dir, "containers").select("container_kind", "capacity_tokens")
+    packed = _packed(spark, sf_dir).join(F.broadcast(kinds), "container_kind")
+    docs = packed.groupBy("container_kind", "doc_id").agg(F.sum("units").alias("size"), F.count(F.lit(1)).alias("pieces"), F.first("capacity_tokens").alias("capacity"))
+    docs = docs.groupBy("container_kind").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity"))).alias("n_cut_without_need"))
+    full = packed.groupBy("container_kind", "container").agg(F.sum("units").alias("fill"), F.first("capacity_tokens").alias("capacity"))
+    return docs.join(full.groupBy("container_kind").agg(F.count_if(F.col("fill") > F.col("capacity")).alias("n_overfull")), "container_kind")
+
+
 # --- 7: evaluation items in documents
 
 

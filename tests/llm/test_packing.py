@@ -24,12 +24,20 @@ def test_pack(spark):
         assert {r.key for r in cut} <= {9005}  # a repeated row is another item
     assert [r.units for r in out.filter("container_kind = 'small' AND key = 9003").orderBy("piece").collect()] == [100, 100, 100, 100, 50]
     assert [r.units for r in out.filter("container_kind = 'small' AND key = 9004").orderBy("piece").collect()] == [100, 100]
+    other = pack(df.repartition(7).orderBy(F.rand(3)), "key", "units", {"small": 100, "big": 1000}, block=1000)  # stored in another way
+    assert sorted(map(str, out.collect())) == sorted(map(str, other.collect()))
     assert pack(df.filter("key < 0"), "key", "units", {"small": 100}).count() == 0
     with pytest.raises(ValueError):
         pack(df, "key", "units", {"none": 0})
     assert pack(df, "key", "units", {}).count() == 0
 
 
+def test_equal_items(spark):
+    df = spark.range(25_000).select(F.lit(1).alias("key"), F.lit(3).alias("units"))
+    out = pack(df, "key", "units", {"c": 10})
+    assert out.count() == 25_000 and out.groupBy("container").agg(F.sum("units").alias("u")).filter("u > 10").isEmpty()
+
+
 def test_sum_of_squares():
     """Each placement has the least sum of squares of all."""
     import random

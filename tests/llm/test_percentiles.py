@@ -27,7 +27,8 @@ def test_bound(kind):
     whole = pct.Summary(64)
     for s in parts:
         whole.merge(pct.Summary.of(*s.row(), 64))
-    assert whole.n == len(x) and sum(w * len(b) if w else len(b) for w, b in zip(*whole.row()[2:])) == len(x)
+    n, _, weights, buffers = whole.row()
+    assert n == len(x) == sum(w * 64 for w in weights) + len(buffers) - 64 * len(weights)
     for q in (0, 0.01, 0.25, 0.5, 0.75, 0.99, 1):
         assert rank_error(x, q, whole.quantiles([q])[0]) <= whole.err / whole.n
     assert whole.err / whole.n < 0.15
@@ -52,3 +53,12 @@ def test_tables(spark):
     assert pct.summarise(df.filter("v IS NULL"), ["k"], "v").count() == 0
     whole = pct.percentiles(pct.summarise(df, [], "v", 128), {"median": 0.5}, 128).first()
     assert whole.n_values == sum(r.n_values for r in out)
+
+
+def test_many_small_summaries_of_one_key_merge_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(pct, "FAN", 2)
+    df = spark.range(0, 9_000, 1, 23).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").cast("double").alias("v"))
+    out = {r.k: r for r in pct.percentiles(pct.summarise(df, ["k"], "v", 512), {"median": 0.5}, 512).collect()}
+    values = np.array([float(i) for i in range(9_000) if i % 3])
+    assert len(out) == 3001 and out["hot"].n_values == 6_000 and rank_error(values, 0.5, out["hot"].median) <= out["hot"].rank_error < 0.05
+    assert (out["3"].median, out["3"].rank_error) == (3.0, 0.0)
