@@ -1,27 +1,27 @@
-"""Held-out items that documents repeat: BM25 with block maxima finds candidates, word for word comparison decides."""
+"""Held-out items that documents repeat: a BM25 inverted index with block-max WAND finds candidates, words are compared then."""
 
 from __future__ import annotations
 
 import html
 import math
+import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import unquote
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stavework.runtime import Shared
+from stavework.runtime import Shared, drop_table, materialize
 
 #: Consecutive words that make a repeat, and the share of all words in order within a stretch of STRETCH lengths.
 RUN, SHARE, STRETCH = 20, 0.7, 2
-#: Words of a passage, and words from one passage's start to the next; every run of RUN words lies in one passage.
-PASSAGE, STEP = 64, 32
-#: Items of one index, and of a block that shares upper bounds.
-ITEMS, ITEM_BLOCK = 1024, 8
+#: Items of one index (about 3 KB each, of 120 words), and of a block that shares upper bounds.
+ITEMS, ITEM_BLOCK = 16_384, 8
 K1, B = 1.2, 0.75
 
 #: A word: letters and digits, cut where a capital follows a small letter or starts a capitalised part. So each is
@@ -75,76 +75,87 @@ def words(text: str | None) -> list[str]:
 
 
 class ItemIndex:
-    """BM25 impacts of at most ITEMS items, upper bounds of blocks of items, and the score that no repeat falls below.
+    """An inverted index of items: postings by term in blocks of items, and the scores that no repeat falls below.
 
-    An impact is what one occurrence of a term in a passage adds to an item's score. Impacts aren't negative, so a
-    passage scores at least what any words of the item within it add. A run of RUN words lies whole in one passage:
-    the least sum over the item's own runs bounds its score. SHARE of the words within a stretch fall on few passages,
-    one of which holds its part of the least valuable SHARE of the item. The smaller of both is the item's threshold:
-    retrieval above it loses no repeat.
+    A posting is (item, impact, count): ``impact`` is what one occurrence of the term adds to the item's BM25 score, up to
+    ``count`` occurrences, as often as the item has it. Blocks of ITEM_BLOCK neighbouring items have their largest
+    impact and count beside, and each term its largest of all. Memory follows the number of postings.
+
+    Both rules bound the score from below. A run of RUN words lies whole in a short passage, which scores at least what
+    the least valuable run of the item is worth. A stretch lies whole in a long passage, which scores at least the
+    least valuable SHARE of the item's words. Impacts aren't negative, and no rule counts a word more often than the
+    item has it. So retrieval above the threshold of each rule loses no repeat.
     """
 
     def __init__(self, items: list[tuple[int, list[str]]]):
         items = [(i, w) for i, w in items if w]
-        self.ids = np.array([i for i, _ in items], np.int64)
-        self.term: dict[str, int] = {}
-        self.seqs = [np.array([self.term.setdefault(t, len(self.term)) for t in w], np.int64) for _, w in items]
         n = len(items)
-        mean = sum(map(len, self.seqs)) / max(1, n)
-        df = Counter(int(t) for s in self.seqs for t in set(s.tolist()))
-        self.impact = np.zeros((len(self.term), n), np.float32)
-        for j, s in enumerate(self.seqs):
-            for t, tf in Counter(s.tolist()).items():
-                idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
-                self.impact[t, j] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(s) / mean))
-        # a word's three ways of writing
-        self.written = {x: k for t, k in self.term.items() for x in (t.upper(), t.capitalize(), t)}
-        blocks = range(0, n, ITEM_BLOCK)
-        self.block_max = np.stack([self.impact[:, o : o + ITEM_BLOCK].max(axis=1) for o in blocks], axis=1) if n else np.zeros((0, 0), np.float32)
-        self.best = self.impact.max(axis=1) if n else np.zeros(0, np.float32)
-        both = np.array([self._thresholds(j) for j in range(n)], np.float64).reshape(n, 2)
-        self.run_least, self.least = both[:, 0], both.min(axis=1)
-        self.block_least = np.array([self.least[o : o + ITEM_BLOCK].min() for o in blocks])
-        self.masks: list[dict[int, int]] = []
-        for s in self.seqs:
-            m: dict[int, int] = {}
-            for k, t in enumerate(s.tolist()):
-                m[t] = m.get(t, 0) | 1 << k
-            self.masks.append(m)
-        # how often each term occurs in each item; the last row is for words in no item
-        self.count = np.zeros((len(self.term) + 1, n), np.int32)
-        for j, s in enumerate(self.seqs):
-            np.add.at(self.count, (s, j), 1)
-        self.need = np.array([math.ceil(SHARE * len(s) - 1e-9) for s in self.seqs], np.int64)
-        hashes = [_hashes(s) for s in self.seqs]
-        self.run_hash = np.concatenate(hashes) if n else np.zeros(0, np.uint64)
-        self.run_at = [(j, k) for j, h in enumerate(hashes) for k in range(len(h))]
-        order = np.argsort(self.run_hash, kind="stable")
-        self.run_hash, self.run_at = self.run_hash[order], [self.run_at[k] for k in order.tolist()]
-
-    def run_items(self, seq: np.ndarray) -> Iterator[int]:
+        self.ids = np.array([i for i, _ in items], np.int64)
+        term: dict[str, int] = {}
+        self.words = np.array([term.setdefault(t, len(term)) for _, w in items for t in w], np.int32)
+        self.at = np.concatenate(([0], np.cumsum([len(w) for _, w in items], dtype=np.int64)))
+        size = np.diff(self.at)
+        item = np.repeat(np.arange(n), size)
+        # postings in the order (term, item)
+        key, count = np.unique(self.words.astype(np.int64) * max(1, n) + item, return_counts=True)
+        t, j = np.divmod(key, max(1, n))
+        df = np.bincount(t, minlength=len(term))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        length = K1 * (1 - B + B * size / max(1.0, size.mean() if n else 1.0))
+        self.post_key, self.post_count = key, count.astype(np.int32)
+        self.post_impact = (idf[t] * count * (K1 + 1) / (count + length[j]) / count).astype(np.float32)
+        # blocks of postings, each with its maxima; the same for a term's whole list
+        self.n_blocks = -(-n // ITEM_BLOCK)
+        block = t * max(1, self.n_blocks) + j // ITEM_BLOCK
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        self.block_key = block[first]
+        self.block_impact, self.block_count = _top(self.post_impact, first), _top(self.post_count, first)
+        lists = np.flatnonzero(np.diff(t, prepend=-1))
+        self.best_impact, self.best_count = _top(self.post_impact, lists), _top(self.post_count, lists)
+        self.list_end = np.searchsorted(self.block_key, (np.arange(len(term)) + 1) * max(1, self.n_blocks))
+        self.written = {x: k for w, k in term.items() for x in (w.upper(), w.capitalize(), w)}  # a word's three ways of writing
+        # thresholds
+        own = self.post_impact[np.searchsorted(key, self.words.astype(np.int64) * max(1, n) + item)].astype(np.float64)
+        self.need = np.ceil(SHARE * size - 1e-9).astype(np.int64)
+        run, share = np.full(n, math.inf), np.zeros(n)
+        for k in range(n):
+            x = own[self.at[k] : self.at[k + 1]]
+            share[k] = np.sort(x)[: self.need[k]].sum()
+            if len(x) >= RUN:
+                upto = np.concatenate(([0.0], np.cumsum(x)))
+                run[k] = (upto[RUN:] - upto[:-RUN]).min()
+        longest = int(size.max()) if n else 1
+        # (words between the starts of passages twice as long, score and words that a repeat of each item shares at least)
+        self.rules = ((RUN, run * (1 - 1e-4), np.full(n, RUN)), (STRETCH * longest, share * (1 - 1e-4), self.need))
+        # a hash for each run of RUN words within an item
+        h = _hashes(self.words)
+        inside = np.flatnonzero(np.arange(len(h)) + RUN <= np.repeat(self.at[1:], size)[: len(h)]) if len(h) else np.zeros(0, np.int64)
+        order = np.argsort(h[inside], kind="stable")
+        self.run_hash, self.run_at = h[inside][order], inside[order].astype(np.int32)
+
+    def seq(self, j: int) -> np.ndarray:
+        return self.words[self.at[j] : self.at[j + 1]]
+
+    def runs(self, seq: np.ndarray) -> set[int]:
         """Items of which ``seq`` holds RUN consecutive words."""
         h = _hashes(seq)
         lo, hi = np.searchsorted(self.run_hash, h), np.searchsorted(self.run_hash, h, "right")
-        for k in np.flatnonzero(hi > lo).tolist():
-            for j, o in self.run_at[lo[k] : hi[k]]:
-                if np.array_equal(seq[k : k + RUN], self.seqs[j][o : o + RUN]):
-                    yield j
+        at, k = _spread(lo, hi)
+        own, within = self.run_at[at], np.arange(RUN)
+        same = (seq[k[:, None] + within] == self.words[own[:, None] + within]).all(axis=1)
+        return set((np.searchsorted(self.at, own[same], "right") - 1).tolist())
+
 
-    def _thresholds(self, j: int) -> tuple[float, float]:
-        s = self.seqs[j]
-        own = self.impact[s, j].astype(np.float64)
-        cs = np.concatenate(([0.0], np.cumsum(own)))
-        run = (cs[RUN:] - cs[:-RUN]).min() if len(s) >= RUN else math.inf
-        part = np.sort(own)[: math.ceil(SHARE * len(s))].sum() / (STRETCH * len(s) // PASSAGE + 2)
-        return run * (1 - 1e-4), part * (1 - 1e-4)
+def _top(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The largest of each run that begins at ``first``."""
+    return np.maximum.reduceat(x, first) if len(x) else x
 
 
 def _hashes(seq: np.ndarray) -> np.ndarray:
     """A hash for each run of RUN term numbers."""
     if len(seq) < RUN:
         return np.zeros(0, np.uint64)
-    x = (seq.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (seq.astype(np.int64) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     n = len(seq) - RUN + 1
     h = np.zeros(n, np.uint64)
     for k in range(RUN):
@@ -152,42 +163,86 @@ def _hashes(seq: np.ndarray) -> np.ndarray:
     return h
 
 
-def _candidates(ix: ItemIndex, pos: np.ndarray, term: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passages, items, scores) of the pairs that score at least the item's threshold; terms lie at ``pos`` of ``total`` words.
+def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers lo .. hi - 1 of each range, and which range each is of."""
+    size = hi - lo
+    of = np.repeat(np.arange(len(lo)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + lo[of], of
 
-    The passage's best score over all items, then over each block of items, is read off prefix sums of upper bounds;
-    only pairs that pass both are scored exactly.
+
+def retrieve(ix: ItemIndex, passage: np.ndarray, term: np.ndarray, least: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passages, items) of all pairs that score at least ``least`` of the item and share ``shared`` words with it, by block-max WAND.
+
+    ``passage`` and ``term`` tell which terms occur in which passage, once for each occurrence. Every passage is a query;
+    all are moved through the posting lists together. A step sorts the lists of each passage by the block under their
+    cursor, adds up the largest scores of whole lists until they reach the least threshold, which gives the pivot block,
+    and moves the lists before it there by a search. If the maxima of the pivot block reach the least threshold within
+    it, the postings of the block are scored; in any case the cursors pass on. A passage ends when its lists can't reach
+    a threshold any more.
     """
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    if not len(pos) or not len(ix.ids):
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not len(term) or not len(ix.ids) or not np.isfinite(least).any():
         return none
-    starts = np.arange(0, total, STEP)
-    lo, hi = np.searchsorted(pos, starts), np.searchsorted(pos, starts + PASSAGE)
-    cs = np.concatenate(([0.0], np.cumsum(ix.best[term], dtype=np.float64)))
-    w = np.flatnonzero(cs[hi] - cs[lo] >= ix.least.min())
-    if not len(w):
+    t_all = len(ix.best_impact)
+    key, count = np.unique(passage * t_all + term, return_counts=True)
+    p, t = np.divmod(key, t_all)
+    bound = np.minimum(count, ix.best_count[t]) * ix.best_impact[t].astype(np.float64)
+    block_least = np.minimum.reduceat(least, np.arange(0, len(least), ITEM_BLOCK))
+    at_least = block_least.min()
+    # passages that can't share or score enough with any item are no queries
+    start = np.flatnonzero(np.diff(p, prepend=-1))
+    able = (np.add.reduceat(bound, start) >= at_least) & (np.add.reduceat(np.minimum(count, ix.best_count[t]), start) >= shared.min())
+    able = np.repeat(able, np.diff(np.append(start, len(p))))
+    key, p, t, count, bound = key[able], p[able], t[able], count[able], bound[able]
+    kp, kt, kc = p, t, count
+    cursor = np.searchsorted(ix.block_key, t * ix.n_blocks)
+    got_p, got_b = [], []
+    while len(p):
+        block = np.where(cursor < ix.list_end[t], ix.block_key[np.minimum(cursor, len(ix.block_key) - 1)] - t * ix.n_blocks, ix.n_blocks)
+        order = np.argsort(p * (ix.n_blocks + 1) + block, kind="stable")
+        p, t, count, bound, cursor, block = (x[order] for x in (p, t, count, bound, cursor, block))
+        start = np.flatnonzero(np.diff(p, prepend=-1))
+        group = np.cumsum(np.diff(p, prepend=-1) != 0) - 1
+        open_bound = np.where(block < ix.n_blocks, bound, 0.0)
+        upto = np.cumsum(open_bound)
+        upto -= (upto[start] - open_bound[start])[group]
+        reached = upto >= at_least
+        # the pivot: the block of the first list with which the bounds reach the threshold
+        pivot = np.minimum.reduceat(np.where(reached, block, ix.n_blocks), start)
+        alive = (pivot < ix.n_blocks)[group]
+        if not alive.any():
+            break
+        p, t, count, bound, cursor, block, to = (x[alive] for x in (p, t, count, bound, cursor, block, pivot[group]))
+        behind = block < to
+        cursor[behind] = np.searchsorted(ix.block_key, t[behind] * ix.n_blocks + to[behind])
+        on = cursor < ix.list_end[t]
+        on[on] = ix.block_key[cursor[on]] == t[on] * ix.n_blocks + to[on]
+        c = cursor[on]
+        start = np.flatnonzero(np.diff(p, prepend=-1))
+        group = np.cumsum(np.diff(p, prepend=-1) != 0) - 1
+        most = np.bincount(group[on], np.minimum(count[on], ix.block_count[c]) * ix.block_impact[c].astype(np.float64), len(start))
+        enough = most >= block_least[to[start]] * (1 - 1e-6)
+        got_p.append(p[start][enough])
+        got_b.append(to[start][enough])
+        cursor[on] += 1
+    if not got_p:
         return none
-    keep = np.zeros(len(pos) + 1, np.int64)  # only terms of passages that are left
-    np.add.at(keep, lo[w], 1)
-    np.add.at(keep, hi[w], -1)
-    on = np.cumsum(keep[:-1]) > 0
-    at = np.concatenate(([0], np.cumsum(on)))
-    lo, hi, term = at[lo[w]], at[hi[w]], term[on]
-    out = [none]
-    nb = ix.block_max.shape[1]
-    for o in range(0, nb, 32):  # bounds the prefix sums' size
-        cs2 = np.zeros((len(term) + 1, min(32, nb - o)))
-        np.cumsum(ix.block_max[term, o : o + 32], axis=0, dtype=np.float64, out=cs2[1:])
-        p, b = np.nonzero(cs2[hi] - cs2[lo] >= ix.block_least[o : o + 32])
-        for k in np.unique(b):
-            mine = p[b == k]
-            first = (o + int(k)) * ITEM_BLOCK
-            cs3 = np.zeros((len(term) + 1, len(ix.ids[first : first + ITEM_BLOCK])))
-            np.cumsum(ix.impact[term, first : first + ITEM_BLOCK], axis=0, dtype=np.float64, out=cs3[1:])
-            score = cs3[hi[mine]] - cs3[lo[mine]]
-            q, j = np.nonzero(score >= ix.least[first : first + ITEM_BLOCK])
-            out.append((w[mine[q]], j + first, score[q, j]))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    # the postings of the blocks that are left
+    qp, qb = np.concatenate(got_p), np.concatenate(got_b)
+    rows, q = _spread(np.searchsorted(kp, qp), np.searchsorted(kp, qp, "right"))
+    n = len(ix.ids)
+    low = kt[rows] * n + qb[q] * ITEM_BLOCK
+    high = kt[rows] * n + np.minimum(qb[q] * ITEM_BLOCK + ITEM_BLOCK, n)
+    post, r = _spread(np.searchsorted(ix.post_key, low), np.searchsorted(ix.post_key, high))
+    item = ix.post_key[post] - kt[rows][r] * n
+    common = np.minimum(kc[rows][r], ix.post_count[post])
+    cell = q[r] * ITEM_BLOCK + item - qb[q[r]] * ITEM_BLOCK
+    score = np.bincount(cell, common * ix.post_impact[post].astype(np.float64), len(qp) * ITEM_BLOCK)
+    both = np.bincount(cell, common, len(qp) * ITEM_BLOCK)
+    hit = np.flatnonzero(score > 0)
+    of, item = hit // ITEM_BLOCK, qb[hit // ITEM_BLOCK] * ITEM_BLOCK + hit % ITEM_BLOCK
+    good = (score[hit] >= least[item] * (1 - 1e-6)) & (both[hit] >= shared[item])
+    return qp[of[good]], item[good]
 
 
 def _common(mask: dict[int, int], n: int, seq: list[int]) -> int:
@@ -203,14 +258,23 @@ def _common(mask: dict[int, int], n: int, seq: list[int]) -> int:
     return n - (v & full).bit_count()
 
 
+@lru_cache(4096)
+def _places(ix: ItemIndex, j: int) -> dict[int, int]:
+    """For each term of item j the bits of its places."""
+    masks: dict[int, int] = {}
+    for k, t in enumerate(ix.seq(j).tolist()):
+        masks[t] = masks.get(t, 0) | 1 << k
+    return masks
+
+
 def _in_order(ix: ItemIndex, j: int, seq: np.ndarray) -> bool:
     """Whether a stretch of ``seq`` (term numbers, -1 for others) holds SHARE of item j's words in their order."""
-    n = len(ix.seqs[j])
-    need, span = ix.need[j], STRETCH * n
-    at = np.flatnonzero(ix.count[seq, j] > 0)
-    at = at[seq[at] >= 0]
-    own = seq[at].tolist()
-    if len(own) < need or _common(ix.masks[j], n, own) < need:
+    masks = _places(ix, j)
+    n, need = len(ix.seq(j)), int(ix.need[j])
+    at = [k for k, t in enumerate(seq.tolist()) if t in masks]
+    own, span = [int(seq[k]) for k in at], STRETCH * n
+    at = np.array(at)
+    if _common(masks, n, own) < need:
         return False
     if len(seq) <= span:
         return True
@@ -218,7 +282,7 @@ def _in_order(ix: ItemIndex, j: int, seq: np.ndarray) -> bool:
     ends = np.searchsorted(at, at + span)
     k = 0
     while k < len(at):
-        got = _common(ix.masks[j], n, own[k : ends[k]]) if ends[k] - k >= need else ends[k] - k
+        got = _common(masks, n, own[k : ends[k]]) if ends[k] - k >= need else ends[k] - k
         if got >= need:
             return True
         k = max(k + 1, int(np.searchsorted(ends, ends[k] + need - got)))
@@ -230,75 +294,104 @@ def _terms(ix: ItemIndex, text: str) -> np.ndarray:
     return np.array([get(w, -1) for w in _WORD.findall(text)], np.int64)
 
 
-def find_repeats(ix: ItemIndex, texts: list[str | None]) -> list[tuple[int, int]]:
-    """(text number, item_id) of every repeat."""
-    pos, term, seqs = [], [], []
-    total, base = 0, np.zeros(len(texts), np.int64)
-    plain = [undo_layout(t) if t else "" for t in texts]
-    for d, t in enumerate(plain):
-        s = _terms(ix, t)
-        seqs.append(s)
-        base[d] = total
+def candidates(ix: ItemIndex, seqs: list[np.ndarray], rule: int) -> list[tuple[int, int, int, int]]:
+    """(sequence, item, first word, word after the last) of each passage that the index retrieves for the rule."""
+    step, least, shared = ix.rules[rule]
+    base, pos, term, total = [], [], [], 0
+    for s in seqs:
+        base.append(total)
         k = np.flatnonzero(s >= 0)
         pos.append(k + total)
         term.append(s[k])
-        total += -(-(len(s) + PASSAGE) // STEP) * STEP  # no passage holds words of two texts
-    if not texts:
-        return []
-    p, items, score = _candidates(ix, np.concatenate(pos), np.concatenate(term), total)
-    if not len(p):
+        total += -(-len(s) // step) * step + step  # no passage holds words of two sequences
+    if not seqs:
         return []
-    # for each (text, item) the span of its passages
-    d = np.searchsorted(base, p * STEP, "right") - 1
-    pair, at = d * len(ix.ids) + items, p * STEP - base[d]
-    order = np.argsort(pair, kind="stable")
-    pair, at, score = pair[order], at[order], score[order]
-    first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-    lo, hi = np.minimum.reduceat(at, first), np.maximum.reduceat(at, first) + PASSAGE
-    score = np.maximum.reduceat(score, first)
-    d, item = np.divmod(pair[first], len(ix.ids))
-    out = []
-    cuts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1], [True])))
-    widest = STRETCH * int(max(map(len, ix.seqs)))
-    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        t, cand, seq = int(d[x]), item[x:y], seqs[int(d[x])]
-        # words of the item here, each as often as there: either rule takes its number of them
-        near = seq[max(0, int(lo[x:y].min()) - widest) : int(hi[x:y].max()) + widest]
-        have = np.bincount(near[near >= 0])
-        used = np.flatnonzero(have)
-        shared = np.minimum(have[used, None], ix.count[np.ix_(used, cand)]).sum(axis=0)
-        some = (shared >= ix.need[cand]) | (shared >= RUN) & (score[x:y] >= ix.run_least[cand])
-        if not some.any():
-            continue
-        # a passage takes in line numbers between the words; before words are compared they go
-        seq = _terms(ix, drop_numbers(plain[t]))
-        slack = len(seqs[t]) - len(seq)  # places moved by as many words as were dropped, at most
-        run = set(ix.run_items(seq))
-        for k in np.flatnonzero(some).tolist():
-            j = int(cand[k])
-            more = STRETCH * len(ix.seqs[j])
-            if j in run or shared[k] >= ix.need[j] and _in_order(ix, j, seq[max(0, int(lo[x + k]) - more - slack) : int(hi[x + k]) + more]):
-                out.append((t, int(ix.ids[j])))
-    return out
-
-
-def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, max_items: int = 100_000) -> DataFrame:
+    x, t, base = np.concatenate(pos), np.concatenate(term), np.array(base)
+    # a word lies in the passage that starts in its own step and in the one before
+    tile = x // step
+    earlier = tile * step > base[np.searchsorted(base, x, "right") - 1]
+    p, items = retrieve(ix, np.concatenate((tile, tile[earlier] - 1)), np.concatenate((t, t[earlier])), least, shared)
+    d = np.searchsorted(base, p * step, "right") - 1
+    first = p * step - base[d]
+    return list(zip(d.tolist(), items.tolist(), first.tolist(), (first + 2 * step).tolist()))
+
+
+def find_repeats(ix: ItemIndex, texts: list[str | None]) -> list[tuple[int, int]]:
+    """(text number, item_id) of every repeat.
+
+    A text whose lines are numbered is looked at with and without the numbers, as an item may have numbered lines too.
+    """
+    of, seqs = [], []
+    for d, text in enumerate(texts):
+        if text:
+            plain = undo_layout(text)
+            bare = drop_numbers(plain)
+            for t in (plain,) if bare is plain else (plain, bare):
+                of.append(d)
+                seqs.append(_terms(ix, t))
+    found: set[tuple[int, int]] = set()
+    asked: dict[int, set[int]] = {}
+    for s, j, *_ in candidates(ix, seqs, 0):
+        asked.setdefault(s, set()).add(j)
+    for s, items in asked.items():
+        found.update((of[s], j) for j in ix.runs(seqs[s]) & items)
+    for s, j, a, b in candidates(ix, seqs, 1):
+        if (of[s], j) not in found and _in_order(ix, j, seqs[s][a:b]):
+            found.add((of[s], j))
+    return sorted((d, int(ix.ids[j])) for d, j in found)
+
+
+def build_indexes(items: DataFrame, item: str, item_text: str) -> DataFrame:
+    """(shard, index): pickled indexes of at most about ITEMS items of like length, each built in one task."""
+
+    @F.pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        return s.map(words)
+
+    rows = items.select(F.col(f"`{item}`").cast("bigint").alias("i"), cut(F.col(f"`{item_text}`").cast("string")).alias("w")).filter("i IS NOT NULL AND size(w) > 0").distinct()
+    rows = materialize(rows.withColumn("n", F.size("w")), "items")
+    shards = -(-rows.count() // ITEMS)
+    ends = rows.approxQuantile("n", [k / shards for k in range(1, shards)], 0.001) if shards > 1 else []
+    length = F.lit(0)
+    for e in sorted(set(ends)):
+        length = length + F.when(F.col("n") > e, 1).otherwise(0)
+    by_length = rows.withColumn("length", length)
+    sizes = {r["length"]: -(-int(r["c"]) // ITEMS) for r in by_length.groupBy("length").agg(F.count(F.lit(1)).alias("c")).collect()}  # at most shards rows
+    parts = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    placed = by_length.withColumn("part", F.pmod(F.xxhash64("i", "w"), parts[F.col("length")]))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        listed = sorted((int(i), list(w)) for i, w in zip(pdf["i"], pdf["w"]))
+        return pd.DataFrame({"index": [pickle.dumps(vars(ItemIndex(listed)))]})
+
+    return materialize(placed.groupBy("length", "part").applyInPandas(build, "index binary").withColumn("shard", F.monotonically_increasing_id()), "indexes")
+
+
+def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
     """(key, item) for every document that repeats an item, each pair once for each row of ``docs``.
 
     A document repeats an item if, layout undone, it holds RUN consecutive words of it, or SHARE of its words in order
-    within a stretch of STRETCH times its length. Items are the stated query set: they go to every task in indexes of
-    ITEMS items; more than ``max_items`` are refused (split them and unite the results). The corpus is scanned once,
-    whole texts, without a shuffle. Defined results: null or empty texts repeat nothing and null or empty items are
+    within a stretch of STRETCH times its length. Items are the stated query set, of any number: indexes of about ITEMS
+    items are built in tasks and sent to the workers one after the other, and the corpus is scanned, whole texts and
+    without a shuffle, once for each. Defined results: null or empty texts repeat nothing and null or empty items are
     never repeated; equal items are all reported; items of fewer than RUN words are found by the share alone.
     """
-    rows = items.select(F.col(f"`{item}`").cast("bigint").alias("i"), F.col(f"`{item_text}`").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL").distinct().limit(max_items + 1).collect()
-    if len(rows) > max_items:
-        raise ValueError(f"more than {max_items} items")
-    listed = sorted((int(r["i"]), words(r["t"])) for r in rows)
-    shared = Shared(docs.sparkSession, [ItemIndex(listed[o : o + ITEMS]) for o in range(0, len(listed), ITEMS)])
     kind = dict(docs.dtypes)[key]
-
+    wanted, schema = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), f"`{key}` {kind}, `{item}` bigint"
+    built = build_indexes(items, item, item_text)
+    out = None
+    for r in built.select("shard").orderBy("shard").collect():
+        blob = built.filter(F.col("shard") == r["shard"]).select("index").first()[0]
+        found = wanted.mapInArrow(_scan(Shared(docs.sparkSession, bytes(blob)), key, item), schema)
+        out = found if out is None else out.unionByName(found)
+    drop_table(built)
+    return out if out is not None else wanted.filter(F.lit(False)).select(key, F.lit(None).cast("bigint").alias(item))
+
+
+def _scan(shared: Shared, key: str, item: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = ItemIndex([])
+        vars(ix).update(pickle.loads(shared.value))
         for b in batches:
             texts, o = b.column(1).to_pylist(), 0
             while o < len(texts):
@@ -306,9 +399,9 @@ def leaked_items(docs: DataFrame, key: str, text: str, items: DataFrame, item: s
                 while o + n < len(texts) and (n == 0 or size < 1 << 20) and n < 500:
                     size += len(texts[o + n] or "")
                     n += 1
-                got = sorted({x for ix in shared.value for x in find_repeats(ix, texts[o : o + n])})
+                got = find_repeats(ix, texts[o : o + n])
                 if got:
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([o + d for d, _ in got])), pa.array([i for _, i in got], pa.int64())], names=[key, item])
                 o += n
 
-    return docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{key}` {kind}, `{item}` bigint")
+    return run

@@ -3,8 +3,12 @@
 import json
 import math
 import random
+from collections import Counter
 
-from stavework.llm.leakage import ItemIndex, drop_numbers, find_repeats, leaked_items, undo_layout, words
+import numpy as np
+
+from stavework.llm import leakage
+from stavework.llm.leakage import ItemIndex, drop_numbers, find_repeats, leaked_items, retrieve, undo_layout, words
 
 RNG = random.Random(8)
 VOCAB = [f"w{i}" for i in range(40)] + [str(i) for i in range(1, 60)] + ["the", "of", "a", "to"] * 3
@@ -21,7 +25,11 @@ def common(a, b):
 
 
 def plain(text):
-    w, out = words(drop_numbers(undo_layout(text))), []
+    return sorted({i for t in (undo_layout(text), drop_numbers(undo_layout(text))) for i in repeated(t)})
+
+
+def repeated(text):
+    w, out = words(text), []
     for i, t in ITEMS:
         o = words(t)
         runs = {tuple(o[k : k + 20]) for k in range(len(o) - 19)}
@@ -66,6 +74,60 @@ def test_layouts():
     assert words("paleGateHTMLText z2")[:4] == ["pale", "gate", "html", "text"] and camel
 
 
+def numbered(w, a, n, first):
+    """Words a line at a time, ``n`` to a line, each line with its number."""
+    lines = [" ".join(w[o : o + n]) for o in range(0, len(w), n)]
+    return "\n".join(f"{first + k}{a} {x}" for k, x in enumerate(lines))
+
+
+def test_numbered_lines_lose_no_repeat():
+    ix = ItemIndex([(i, words(t)) for i, t in ITEMS])
+    rng = random.Random(12)
+    for n in range(1, 9):
+        docs, want = [], []
+        for i, t in rng.sample(ITEMS, 8):
+            w = t.split()
+            o = rng.randrange(len(w) - 19)
+            left_out = set(rng.sample(range(len(w)), int(len(words(t)) * 0.28)))
+            part = [x for k, x in enumerate(w) if k not in left_out]
+            for x in (w[o : o + 20], part):
+                docs.append("int main\n" + numbered(x, rng.choice([":", ".", "|", " "]), n, rng.randrange(1, 900)) + "\nreturn value")
+                want.append(i)
+        got = set(find_repeats(ix, docs))
+        assert all((d, i) in got for d, i in enumerate(want)), n
+
+
+def test_items_with_numbered_lines():
+    text = "\n".join(f"{k}. {' '.join(RNG.choice(VOCAB) for _ in range(4))}" for k in range(1, 12))
+    assert find_repeats(ItemIndex([(5, words(text))]), ["x\n" + text, text.replace("\n", "\n// ")]) == [(0, 5), (1, 5)]
+
+
+def test_retrieval_against_all_scores():
+    """What the index retrieves is what scores high enough, whatever it skips."""
+    rng = random.Random(3)
+    items = [(i, [f"t{int(rng.paretovariate(0.6)) % 90}" for _ in range(rng.randrange(1, 60))]) for i in range(61)]
+    ix = ItemIndex(items)
+    passages = [[f"t{int(rng.paretovariate(0.6)) % 120}" for _ in range(rng.randrange(0, 50))] for _ in range(80)]
+    at = [(p, ix.written[w]) for p, ws in enumerate(passages) for w in ws if w in ix.written]
+    least, shared = np.array([rng.uniform(2, 40) for _ in items]), np.array([rng.randrange(1, 9) for _ in items])
+    p, j = retrieve(ix, np.array([x for x, _ in at]), np.array([t for _, t in at]), least, shared)
+    want = set()
+    impact = {(k // len(items), k % len(items)): x for k, x in zip(ix.post_key.tolist(), ix.post_impact.tolist())}
+    for x, ws in enumerate(passages):
+        for k, (_, own) in enumerate(items):
+            common = {w: min(n, own.count(w)) for w, n in Counter(ws).items() if w in own}
+            if common and sum(n * impact[ix.written[w], k] for w, n in common.items()) >= least[k] and sum(common.values()) >= shared[k]:
+                want.add((x, k))
+    assert set(zip(p.tolist(), j.tolist())) == want and len(want) > 50
+
+
+def test_several_indexes(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEMS", 7)
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, "x " + t) for i, t in ITEMS], "doc_id bigint, text string")
+    assert {tuple(r) for r in leaked_items(docs, "doc_id", "text", items, "item_id", "text").collect()} == {(i, j) for i, t in ITEMS for j in plain(t)}
+
+
 def test_tables(spark):
     items = spark.createDataFrame([*ITEMS, (77, None), (78, ""), (None, "a b"), (79, ITEMS[0][1])], "item_id bigint, text string")
     long = "filler " * 30_000 + ITEMS[0][1] + " more" * 10
