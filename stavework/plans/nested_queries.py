@@ -9,13 +9,13 @@ from stavework.operators.nested import flatten_nested, level_table
 from stavework.runtime import latest, load
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _nodes(spark: SparkSession, sf_dir: str, values: bool = True) -> DataFrame:
     raw = load(spark, sf_dir, "raw_review").select("record_id", "received_at", "payload")
-    return flatten_nested(latest(raw, "record_id", "received_at", "payload"), "record_id", "payload")
+    return flatten_nested(latest(raw, "record_id", "received_at", "payload"), "record_id", "payload", values=values)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir).select("record_id", "node_level", "node_path")
+    return _nodes(spark, sf_dir, values=False).select("record_id", "node_level", "node_path")
 
 
 def _level(level: str):

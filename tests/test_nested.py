@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from stavework.operators.nested import ARRAY_KEYS, LEVELS, _nodes, flatten_nested, is_json, level_table
+from stavework.operators.nested import ARRAY_KEYS, LEVELS, OBJECTS, _walk, flatten_nested, is_json, level_table
 
 
 def walk(payload):
@@ -37,13 +37,29 @@ def walk(payload):
             for i, v in enumerate(x):
                 go(v, [*path, str(i)], key if not element else "", True)
 
-    if payload is not None and is_json(payload):
+    if payload is not None and parses(payload):
         go(json.loads(payload), [], "", False)
     return sorted(out)
 
 
+def nodes(texts):
+    found, names = _walk(texts, ARRAY_KEYS, LEVELS, OBJECTS, False)
+    return [(int(i), names[k], p) for a, b, c in zip(found.record, found.level, found.path) for i, k, p in zip(a, b, c.to_pylist())]
+
+
 def got(payload):
-    return sorted(r[:2] for r in _nodes([payload])[1])
+    return sorted((k, p) for _, k, p in nodes([payload]))
+
+
+def parses(text):
+    def no(_):
+        raise ValueError
+
+    try:
+        json.loads(text, parse_constant=no)
+    except ValueError:
+        return False
+    return True
 
 
 KEYS = st.sampled_from(["staves", "measures", "events", "issues", "pitches", "bbox", "notes", "pitch", "parts", 'odd "\\ key', "x"])
@@ -55,9 +71,19 @@ VALUES = st.recursive(LEAVES, lambda v: st.one_of(st.lists(v, max_size=3), st.di
 @given(st.lists(VALUES, min_size=1, max_size=3), st.sampled_from([None, 1]))
 def test_equals_plain_walk(values, indent):
     texts = [json.dumps(v, indent=indent) for v in values]
-    ids, rows = _nodes(texts)
+    texts.insert(1, '{"events": [1')  # broken ones between
+    rows = nodes(texts)
     for i, t in enumerate(texts):
-        assert sorted(r[:2] for j, r in zip(ids, rows) if j == i) == walk(t)
+        assert sorted((k, p) for j, k, p in rows if j == i) == walk(t)
+
+
+@settings(max_examples=400, deadline=None)
+@given(VALUES, st.lists(st.tuples(st.integers(0, 60), st.sampled_from(['"', "\\", "{", "}", "[", "]", ",", ":", "1", "-", ".", "e", "u12", "n", "\n", "\t", " ", "", "null", "é"])), max_size=3))
+def test_valid_where_the_parser_agrees(value, edits):
+    text = json.dumps(value)
+    for at, x in edits:
+        text = text[:at] + x + text[at + 1 :]
+    assert is_json(text) == parses(text), text
 
 
 def test_rules():
@@ -86,5 +112,8 @@ def test_flat_tables(spark):
 def test_long_and_deep():
     deep = '{"events":[' * 400 + "1" + "]}" * 400
     assert len(got(deep)) == 400
+    for bad in ("[" * 200_000, '{"a":' * 3_000 + "x x" + "}" * 3_000, "[" * 3_000 + "]" * 2_999, "[" * 3_000 + "]" * 3_000 + " 1", '{"events": [1}]' * 1):
+        assert got(bad) == [] and not is_json(bad)
+    assert is_json("[" * 20_000 + "]" * 20_000)
     long = json.dumps({"issues": [{"kind": "x" * 1000}] * 2000})
     assert len(got(long)) == 2000
