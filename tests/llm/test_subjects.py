@@ -83,7 +83,7 @@ def test_grow_finds_all_itemsets(monkeypatch):
 
 def test_parts():
     shares = {"x": [20] * FOLDS, "y": [80] * FOLDS, "software": [100] * FOLDS}
-    mined = {("a",): ("x", [9] * 5, [10] * 5), ("a", "b"): ("x", [9] * 5, [9] * 5), ("c", "d"): ("x", [2] * 5, [2] * 5), ("e",): ("x", [1, 1, 0, 0, 0], [1, 1, 0, 0, 0]), ("f",): ("software", [9] * 5, [9] * 5), ("g",): ("x", [5] * 5, [10] * 5)}
+    mined = {("a",): ("x", [10] * 5, [10] * 5), ("a", "b"): ("x", [9] * 5, [9] * 5), ("c", "d"): ("x", [2] * 5, [2] * 5), ("e",): ("x", [1, 1, 0, 0, 0], [1, 1, 0, 0, 0]), ("f",): ("software", [9] * 5, [9] * 5), ("g",): ("x", [5] * 5, [10] * 5)}
     assert [k for k, *_ in prune(mined, shares, "software")] == [("a",), ("e",), ("c", "d")]
     assert [k for k, *_ in prune(mined, shares, "software", without=0)] == [("a",), ("c", "d")]
     assert evidence(1, 1, 0.1) is None and evidence(2, 2, 0.1) > 0 and evidence(2, 2, 0.1, words=2) is None and lower_bound(50, 50) > 0.94
