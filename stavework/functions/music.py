@@ -110,6 +110,13 @@ def transpose(step: Column, alter: Column, octave: Column, steps: Column, semito
     return F.when(F.abs(a) <= 2, F.struct(s.alias("step"), a.cast("int").alias("alter"), o.alias("octave")))
 
 
+def concert(step: Column, alter: Column, octave: Column, semitones: Column) -> Column:
+    """The sounding pitch of a part that transposes by ``semitones``; as written where that is null or 0."""
+    n = F.coalesce(semitones, F.lit(0))
+    i = interval_from_semitones(n)
+    return F.when(n == 0, F.struct(step.alias("step"), F.coalesce(alter, F.lit(0)).cast("int").alias("alter"), octave.cast("int").alias("octave"))).otherwise(transpose(step, alter, octave, i["steps"], i["semitones"]))
+
+
 def transpose_key(fifths: Column, steps: Column, semitones: Column) -> Column:
     """A key's fifths after a move; null beyond 7."""
     f = fifths + 7 * semitones - 12 * steps

@@ -136,3 +136,33 @@ def ocr_languages(s: Column) -> Column:
     """``Deu, eng+deu`` as ``deu+eng``: distinct, in order; null if any code isn't three letters."""
     parts = F.array_distinct(F.filter(F.transform(F.split(F.lower(s), "[,+]"), lambda x: F.trim(x)), lambda x: x != ""))
     return F.when((F.size(parts) > 0) & F.forall(parts, lambda x: x.rlike("^[a-z]{3}(_[a-z]+)?$")), F.array_join(parts, "+"))
+
+
+# Fixed value: marks that continue a word over several notes.
+CONTINUATION = r"(?<!\p{L})(?:\s*[._\-\u2013\u2014\u00b7\u2026]){3,}\s*"
+
+
+def clean_continuation(s: Column) -> Column:
+    """words without their marks of continuation, single blanks; null where no letter or digit is left."""
+    x = F.regexp_replace(F.trim(F.regexp_replace(s, F.lit(CONTINUATION), F.lit(" "))), F.lit(r"\s+"), F.lit(" "))
+    return F.when(F.regexp_like(x, F.lit(r"[\p{L}\p{N}]")), x)
+
+
+def close_matches(words: pd.Series, candidates: pd.Series, n: int = 3, cutoff: float = 0.6) -> pd.Series:
+    """Of each row's candidates the n most similar to its word, at least ``cutoff``; of equals the later in order first."""
+    out = []
+    for word, of in zip(words, candidates):
+        if word is None or of is None:
+            out.append(None)
+            continue
+        m = difflib.SequenceMatcher()
+        m.set_seq2(word)
+        scored = []
+        for x in of:
+            if x is None:
+                continue
+            m.set_seq1(x)
+            if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and m.ratio() >= cutoff:
+                scored.append((m.ratio(), x))
+        out.append([x for _, x in sorted(scored, reverse=True)[:n]])
+    return pd.Series(out, dtype=object)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stavework.operators.windows import running_sum
+
 
 def bounded_mode(df: DataFrame, keys: list[str], value: str, lo: object, hi: object, name: str = "mode") -> DataFrame:
     """The smallest of the most frequent values within [lo, hi]. A key without such a value gives no row."""
@@ -87,6 +89,26 @@ def overlapping_groups(df: DataFrame, groups: dict[str, Column], aggregates: lis
     return df.withColumn("grp", F.explode(names)).groupBy("grp").agg(*aggregates)
 
 
-def grouped_in_order(df: DataFrame, keys: list[str], value: str, order: str, name: str) -> DataFrame:
-    """For each key the values in order."""
-    return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
+def numbered_in_order(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """The rows of each key numbered from 1 in order of a numeric column; no row is gathered with all of its key."""
+    return running_sum(df.withColumn("__one", F.lit(1).cast("bigint")), keys, [order], "__one", name).drop("__one")
+
+
+def first_seen(df: DataFrame, keys: list[str], value: str, order: str, name: str) -> DataFrame:
+    """U4, A10: the distinct values of each key in the order in which they are first seen; nulls are none.
+
+    Each value is aggregated to its first place before any list is made: a list holds distinct values only.
+    """
+    first = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("__o"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__o", F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
+
+
+def sorted_distinct(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The distinct values of each key in their own order; nulls are none."""
+    return df.select(*keys, value).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
+def merged_stats(parts: DataFrame, keys: list[str], sums: list[str], labels: DataFrame) -> DataFrame:
+    """A10: partial statistics added up; ``labels`` as from ``first_seen`` go beside, empty where there are none."""
+    total = parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    return total.join(labels, keys, "left").select(*keys, *sums, *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in labels.columns if c not in keys])

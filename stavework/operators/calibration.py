@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stavework.operators.windows import equal_bins, folds
+from stavework.runtime import join_by_key
 
 #: The bands that reports use. The lower end belongs to a band, the upper to the next.
 BANDS = ((0.0, 0.5), (0.5, 0.7), (0.7, 0.8), (0.8, 0.9), (0.9, 1.01))
@@ -97,19 +100,42 @@ def out_of_fold(df: DataFrame, x: str, y: str, group: str, k: int = 4) -> DataFr
     return out
 
 
-#: The 23 features in order.
+# The features of a model file, in order.
 FEATURES = (
-    "grade", "no_grade", "below_5", "below_8", "below_9", "voice_fills", "rhythm_repaired", "clef_repaired", "out_of_range", "is_rest", "is_chord", "is_grace",
-    "in_tuplet", "is_altered", "density", "other_voices", "measure_min_grade", "column_fills", "staff_fill_rate", "staff_mean_grade", "score_fill_rate", "score_mean_grade", "score_located",
+    "grade", "no_grade", "grade_below_0_5", "grade_below_0_8", "grade_below_0_9", "voice_fills", "rhythm_repaired", "clef_repaired", "out_of_range", "rest", "chord", "grace",
+    "tuplet", "altered", "density", "voices", "measure_min_grade", "column_fills", "staff_fill_rate", "staff_mean_grade", "score_fill_rate", "score_mean_grade", "score_located",
 )
 
 
+def write_model(weights: list[float], bias: float, points: list[tuple[float, float]], path: str, trained: dict | None = None) -> None:
+    """A model as JSON: features, weights, bias, the points of the isotonic correction, and how it was trained."""
+    doc = {"features": FEATURES, "weights": list(map(float, weights)), "bias": float(bias), "calibration": [[float(x), float(y)] for x, y in points], "trained": trained or {}}
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(json.dumps(doc, indent=1) + "\n")
+
+
+def read_model(path: str) -> tuple[list[float], float, list[tuple[float, float]]] | None:
+    """(weights, bias, points) of a model file on the driver; None where it is made for other features."""
+    with open(path, encoding="utf-8") as f:
+        doc = json.load(f)
+    if tuple(doc.get("features") or ()) != FEATURES:
+        return None
+    return [float(w) for w in doc["weights"]], float(doc["bias"]), [(float(x), float(y)) for x, y in doc.get("calibration") or ()]
+
+
+def apply_model(x: Column, model: tuple[list[float], float, list[tuple[float, float]]]) -> Column:
+    """The confidence of a feature array: logistic, then corrected; null where it has another length."""
+    weights, bias, points = model
+    return F.when(F.size(x) == len(weights), piecewise(logistic(x, weights, bias), points))
+
+
 def features(events: DataFrame) -> DataFrame:
     """X11, A19, card M: one array of FEATURES for each event.
 
     ``events`` has the keys score_id, part_ord, staff_no, m_idx, voice_no, and grade, located, fills (of the voice),
     length (of the measure, in quarters, null if unknown), rhythm_repaired, clef_repaired, out_of_range, kind, n_notes,
-    grace, tuplet, altered. All shares are windows over four nested grains.
+    grace, tuplet, altered. Shares within a measure are windows; those of staves and scores, which may hold a tenth of all
+    events, are aggregated and joined (the score's by ``join_by_key``).
     """
     voice = ["score_id", "part_ord", "staff_no", "m_idx", "voice_no"]
     over = lambda *k: Window.partitionBy(*k)
@@ -120,16 +146,20 @@ def features(events: DataFrame) -> DataFrame:
     column = over("score_id", "m_idx")
     own = b(F.col("fills"))
     others = F.coalesce((F.sum("__f").over(column) - own) / F.nullif(F.count("__f").over(column) - 1, F.lit(0)), F.lit(1.0))
-    mean = F.coalesce(F.avg("grade").over(over("score_id")), F.lit(0.0))
+    staff = d.groupBy(*[F.col(k).alias(f"s_{k}") for k in ("score_id", "part_ord", "staff_no")]).agg(F.avg("__f").alias("s_fill"), F.avg("grade").alias("s_mean"), F.count(F.lit(1)).alias("s_n"))
+    score = d.groupBy(F.col("score_id").alias("k_score_id")).agg(F.avg("__f").alias("k_fill"), F.avg("grade").alias("k_mean"), F.avg(b(F.col("located"))).alias("k_located"), F.count(F.lit(1)).alias("k_n"))
+    total = score.agg(F.sum("k_n")).first()[0] or 0
+    staff = staff.select(*[F.col(f"s_{k}").alias(f"k_{k}") for k in ("score_id", "part_ord", "staff_no")], "s_fill", "s_mean", "s_n")
+    d = join_by_key(join_by_key(d, score, ["score_id"], "k_n", total), staff, ["score_id", "part_ord", "staff_no"], "s_n", total)
+    mean = F.coalesce("k_mean", F.lit(0.0))
     cols = [
         g, b(F.col("grade").isNull()), b(g < 0.5), b(g < 0.8), b(g < 0.9), own, b(F.col("rhythm_repaired")), b(F.col("clef_repaired")), b(F.col("out_of_range")),
         b(F.col("kind") == "rest"), b(F.col("n_notes") > 1), b(F.col("grace")), b(F.col("tuplet").isNotNull()), b(F.col("altered")),
         F.coalesce(F.count(F.lit(1)).over(over("score_id", "part_ord", "staff_no", "m_idx")) / F.nullif(F.col("length"), F.lit(0.0)), F.lit(4.0)),
         (F.count("__f").over(over("score_id", "part_ord", "staff_no", "m_idx")) - 1).cast("double"),
         F.coalesce(F.min("grade").over(over("score_id", "part_ord", "staff_no", "m_idx")), F.lit(0.0)), others,
-        F.coalesce(F.avg("__f").over(over("score_id", "part_ord", "staff_no")), F.lit(0.0)), F.coalesce(F.avg("grade").over(over("score_id", "part_ord", "staff_no")), mean),
-        F.coalesce(F.avg("__f").over(over("score_id")), F.lit(0.0)), mean, F.coalesce(F.avg(b(F.col("located"))).over(over("score_id")), F.lit(0.0)),
+        F.coalesce("s_fill", F.lit(0.0)), F.coalesce("s_mean", mean), F.coalesce("k_fill", F.lit(0.0)), mean, F.coalesce("k_located", F.lit(0.0)),
     ]
-    return d.withColumn("x", F.array(*cols)).drop("__one", "__f")
+    return d.withColumn("x", F.array(*cols)).select(*events.columns, "x")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stavework.functions import music, text
 from stavework.operators.windows import in_force
+from stavework.runtime import join_by_key
 
 STAFF = ["score_id", "part_ord", "staff_no"]
 #: What each kind of issue adds to a measure's priority.
@@ -36,14 +37,16 @@ def rhythm_check(measures: DataFrame, voices: DataFrame) -> DataFrame:
     last may lack what the pickup holds; without a time nothing is checked.
     """
     m = in_force(measures, STAFF, ["m_idx"], "measure_ticks", "expected")
-    w = Window.partitionBy(*STAFF)
-    m = m.withColumn("__last", F.col("m_idx") == F.max("m_idx").over(w)).filter("expected IS NOT NULL")
-    v = m.join(voices, [*STAFF, "m_idx"])
+    v = m.filter("expected IS NOT NULL").join(voices, [*STAFF, "m_idx"])
     short = (F.col("m_idx") == 0) & (F.col("total") < F.col("expected")) & (F.coalesce("implicit", F.lit(False)) | F.coalesce(F.col("m_number") == "0", F.lit(False)))
     v = v.withColumn("__pickup", short)
-    # the last of several voices' pickups counts
-    pickup = F.max(F.when(F.col("__pickup"), F.struct("voice_no", "total"))).over(w)["total"]
-    v = v.withColumn("__held", F.coalesce(pickup, F.lit(0)))
+    # of each staff its last measure and what its pickup holds, of several voices' the last
+    staff = [F.col(k).alias(f"k_{k}") for k in STAFF]
+    ends = measures.groupBy(*staff).agg(F.max("m_idx").alias("__end"))
+    held = v.groupBy(*staff).agg(F.max(F.when(F.col("__pickup"), F.struct("voice_no", "total")))["total"].alias("__held"), F.count(F.lit(1)).alias("__n"))
+    by_staff = ends.join(held, [f"k_{k}" for k in STAFF])
+    v = join_by_key(v, by_staff, STAFF, "__n", by_staff.agg(F.sum("__n")).first()[0] or 0)
+    v = v.withColumn("__last", F.col("m_idx") == F.col("__end")).withColumn("__held", F.coalesce("__held", F.lit(0)))
     completes = F.col("__last") & (F.col("__held") != 0) & (F.col("total") + F.col("__held") == F.col("expected"))
     bad = (F.col("total") != F.col("expected")) & ~F.col("__pickup") & ~completes
     return v.filter(bad).select(*STAFF, "m_idx", measure_label(F.col("m_number"), F.col("m_idx")).alias("measure"), "voice_no", "expected", F.col("total").alias("actual"))
@@ -68,8 +71,8 @@ def alignment_check(measures: DataFrame) -> DataFrame:
     uneven = counts.groupBy("score_id").agg(F.min("n").alias("a"), F.max("n").alias("b")).filter("a <> b")
     uneven = uneven.select("score_id", F.lit("measure-count").alias("kind"), F.lit(None).cast("int").alias("part_ord"), F.lit(None).cast("int").alias("staff_no"), F.lit(None).cast("int").alias("m_idx"))
     first = Window.partitionBy("score_id", "m_idx")
-    head = Window.partitionBy("score_id")
-    m = measures.withColumn("__ref", F.min(F.struct("part_ord", "staff_no")).over(head))
+    head = measures.groupBy(F.col("score_id").alias("k_score_id")).agg(F.min(F.struct("part_ord", "staff_no")).alias("__ref"), F.count(F.lit(1)).alias("__n"))
+    m = join_by_key(measures, head, ["score_id"], "__n", head.agg(F.sum("__n")).first()[0] or 0)
     is_ref = F.struct("part_ord", "staff_no") == F.col("__ref")
     m = m.withColumn("__bar", F.max(F.when(is_ref, F.struct(F.lit(1), F.col("right_barline")))).over(first))
     bad = m.filter(~is_ref & F.col("__bar").isNotNull() & ~F.col("right_barline").eqNullSafe(F.col("__bar.right_barline")))
@@ -96,6 +99,18 @@ def lyrics_check(parts: DataFrame, lyric_events: DataFrame) -> DataFrame:
     )
 
 
+def passed(issues: DataFrame, scores: DataFrame, score: str = "score_id") -> DataFrame:
+    """Of each score whether no check found anything; ``issues`` has a row for each finding."""
+    n = issues.groupBy(score).agg(F.count(F.lit(1)).alias("__n"))
+    return scores.select(score).distinct().join(n, score, "left").select(score, F.col("__n").isNull().alias("passed"))
+
+
+def located(diagnostics: DataFrame, measures: DataFrame, file: str, line: str, measure: str) -> DataFrame:
+    """The diagnostics with the measure that the file and line stand for, of several the later; null where none does."""
+    at = measures.filter(F.col(file).isNotNull() & F.col(line).isNotNull()).groupBy(file, line).agg(F.max(measure).alias("found"))
+    return diagnostics.join(at, [file, line], "left")
+
+
 def review(issues: Column, confidences: Column) -> Column:
     """Card N: the priority of a measure from its issues' kinds and its events' confidences.
 

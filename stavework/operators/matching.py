@@ -181,3 +181,9 @@ def first_match(df: DataFrame, text: Column, rules: list[tuple[str, str]], name:
     for rule, pattern in reversed(rules):
         x = F.when(text.rlike(pattern), F.lit(rule)).otherwise(x)
     return df.withColumn(name, x)
+
+
+def by_ordinal(a: DataFrame, b: DataFrame, keys: list[str], ordinal: str, value: str) -> DataFrame:
+    """Rows of both sides paired by their ordinal; either side null where the other has more."""
+    x, y = a.select(*keys, ordinal, F.col(value).alias("a")), b.select(*keys, ordinal, F.col(value).alias("b"))
+    return x.join(y, [*keys, ordinal], "full")

@@ -1,20 +1,61 @@
 """Operators over measures and events in order: values in force, runs, pairs and relaid onsets.
 
-All take keys that name one staff or voice and the column that orders it, so that windows over the same keys share one
-shuffle. A key's rows are sorted within a task and spill; scores are small, and a staff is the largest group.
+All take keys that name one staff or voice and the columns that order it. A part may hold a tenth of all measures, so what
+looks back over a staff works in blocks of BLOCK places of the first order column, which must be a number: windows lie
+within (keys, block), and what a block hands on to the next (a last value, a sum, a largest end) is aggregated to one row
+a block, carried along these few rows, and joined back. Staves of one block have nothing to hand on and take no part in
+the join, so it is small unless most staves are long. Windows over the keys of one voice of one measure need no blocks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Places of the first order column in a block.
+BLOCK = 4096
+
+
+def _blocks(df: DataFrame, order: list[str]) -> DataFrame:
+    return df.withColumn("__b", F.floor(F.col(order[0]) / BLOCK))
+
+
+def _handed_on(d: DataFrame, keys: list[str], order: list[str], last: Column, carried: Column, none: object = None) -> DataFrame:
+    """Adds ``__c``: what the blocks before hand on. ``last`` aggregates a block, ``carried`` is aggregated over the blocks before."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    block = d.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("__b").alias("__kb")).agg(last.alias("__x"))
+    before = Window.partitionBy(*names).orderBy("__kb").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(Window.partitionBy(*names).orderBy("__kb"))
+    block = block.withColumn("__c", carried.over(before)).withColumn("__f", first).filter("__f > 1").drop("__x", "__f")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)], F.col("__b").eqNullSafe(F.col("__kb")))
+    out = d.join(block, same, "left").drop(*names, "__kb")
+    return out if none is None else out.withColumn("__c", F.coalesce("__c", F.lit(none)))
+
+
+def in_force(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, default: object = None, before: bool = False) -> DataFrame:
+    """The last value that isn't null up to each row, or with ``before`` above it; ``default`` before the first."""
+    d = _blocks(df, order).withColumn("__v", F.col(value))
+    at = F.struct(*order)
+    d = _handed_on(d, keys, order, F.max_by("__v", F.when(F.col("__v").isNotNull(), at)), F.last("__x", ignorenulls=True))
+    w = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    x = F.coalesce(F.last("__v", ignorenulls=True).over(w), F.col("__c"))
+    return d.withColumn(name, x if default is None else F.coalesce(x, F.lit(default))).drop("__b", "__c", "__v")
+
+
+def row_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Adds a struct with the row before's value as ``v``, null for a key's first row."""
+    d = _blocks(df, order).withColumn("__v", F.struct(F.col(value).alias("v")))
+    d = _handed_on(d, keys, order, F.max_by("__v", F.struct(*order)), F.last("__x"))
+    return d.withColumn(name, F.coalesce(F.lag("__v").over(Window.partitionBy(*keys, "__b").orderBy(*order)), F.col("__c"))).drop("__b", "__c", "__v")
+
 
-def in_force(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, default: object = None) -> DataFrame:
-    """The last value that isn't null up to each row; ``default`` before the first."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = F.last(value, ignorenulls=True).over(w)
-    return df.withColumn(name, x if default is None else F.coalesce(x, F.lit(default)))
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """The sum of ``value`` up to each row and with it."""
+    d = _handed_on(_blocks(df, order), keys, order, F.sum(value), F.sum("__x"), 0)
+    w = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn(name, F.sum(value).over(w) + F.col("__c")).drop("__b", "__c")
 
 
 def clef_in_force(clefs: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,8 +68,7 @@ def clef_in_force(clefs: DataFrame, events: DataFrame, keys: list[str]) -> DataF
     a = clefs.select(*keys, "m_idx", "offset_ticks", F.col("clef").alias("__clef"), F.lit(0).alias("__what"))
     b = events.select(*keys, "m_idx", "offset_ticks", F.lit(1).alias("__what"), F.struct(*cols).alias("__row"))
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("m_idx", "offset_ticks", "__what").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("clef", F.last("__clef", ignorenulls=True).over(w)).filter("__what = 1").select(*keys, "m_idx", "offset_ticks", *[F.col(f"__row.{c}").alias(c) for c in cols], "clef")
+    return in_force(both, keys, ["m_idx", "offset_ticks", "__what"], "__clef", "clef").filter("__what = 1").select(*keys, "m_idx", "offset_ticks", *[F.col(f"__row.{c}").alias(c) for c in cols], "clef")
 
 
 def runs(df: DataFrame, keys: list[str], order: list[str], starts: str, name: str) -> DataFrame:
@@ -48,34 +88,33 @@ def previous(value: str | Column, keys: list[str], order: list[str], known: bool
 
 def systems(df: DataFrame, keys: list[str], order: list[str], bbox: str = "bbox", name: str = "system") -> DataFrame:
     """Lines of a page: a new one where the page changes or x moves left of the last known box; null boxes join."""
-    before = df.withColumn("__before", previous(bbox, keys, order, known=True))
+    d = in_force(df, keys, order, bbox, "__before", before=True)
     moved = F.col(f"{bbox}.page") != F.col("__before.page")
     left = F.col(f"{bbox}.x") < F.col("__before.x")
-    out = before.withColumn("__new", F.coalesce(moved | left, F.lit(False)).cast("int"))
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn(name, F.sum("__new").over(w)).drop("__before", "__new")
+    d = d.withColumn("__new", F.coalesce(moved | left, F.lit(False)).cast("int"))
+    return running_sum(d, keys, order, "__new", name).drop("__before", "__new")
 
 
 def systems_by_height(df: DataFrame, keys: list[str], order: list[str], bbox: str = "bbox", name: str = "system") -> DataFrame:
     """The other rule: a new one at a missing box on either side, a page change, or a move in y by over half the last height."""
-    first = df.withColumn("__before", previous(bbox, keys, order)).withColumn("__first", previous(F.lit(1), keys, order).isNull())
-    far = F.abs(F.col(f"{bbox}.y") - F.col("__before.y")) > F.greatest(F.col("__before.h"), F.lit(1.0)) / 2
-    new = ~F.col("__first") & (F.col(bbox).isNull() | F.col("__before").isNull() | F.coalesce((F.col(f"{bbox}.page") != F.col("__before.page")) | far, F.lit(True)))
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return first.withColumn(name, F.sum(new.cast("int")).over(w)).drop("__before", "__first")
+    d = row_before(df, keys, order, bbox, "__before")
+    last = F.col("__before.v")
+    far = F.abs(F.col(f"{bbox}.y") - last["y"]) > F.greatest(last["h"], F.lit(1.0)) / 2
+    new = F.col("__before").isNotNull() & (F.col(bbox).isNull() | last.isNull() | F.coalesce((F.col(f"{bbox}.page") != last["page"]) | far, F.lit(True)))
+    return running_sum(d.withColumn("__new", new.cast("int")), keys, order, "__new", name).drop("__before", "__new")
 
 
 def drop_restated(df: DataFrame, keys: list[str], order: list[str], value: str, starts: Column | None = None) -> DataFrame:
     """Null a value equal to the last one kept, unless a movement starts there."""
-    before = previous(value, keys, order, known=True)
-    again = F.col(value).eqNullSafe(before) & ~(starts if starts is not None else F.lit(False))
-    return df.withColumn("__again", again).withColumn(value, F.when(~F.col("__again"), F.col(value))).drop("__again")
+    d = in_force(df, keys, order, value, "__before", before=True)
+    again = F.col(value).eqNullSafe(F.col("__before")) & ~(starts if starts is not None else F.lit(False))
+    return d.withColumn("__again", again).withColumn(value, F.when(~F.col("__again"), F.col(value))).drop("__again", "__before")
 
 
 def turns(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Rows whose value differs, nulls taken as values, from the row before; the first row is none."""
-    d = df.withColumn("__before", previous(value, keys, order)).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return d.filter((F.col("__n") > 1) & ~F.col(value).eqNullSafe(F.col("__before"))).drop("__before", "__n")
+    d = row_before(df, keys, order, value, "__before")
+    return d.filter(F.col("__before").isNotNull() & ~F.col(value).eqNullSafe(F.col("__before.v"))).drop("__before")
 
 
 def sequential(df: DataFrame, keys: list[str], order: list[str], start: str, length: str) -> DataFrame:
@@ -105,10 +144,11 @@ def with_next_plain(df: DataFrame, keys: list[str], order: list[str], grace: str
 
 def merge_ranges(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """The union of closed ranges, as few rows as can be: (keys, start, end, n)."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = df.withColumn("__new", F.coalesce(F.col(start) > reach, F.lit(True)).cast("int"))
-    d = d.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = _handed_on(_blocks(df, [start]), keys, [start], F.max(end), F.max("__x"))
+    w = Window.partitionBy(*keys, "__b").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.greatest(F.max(end).over(w), F.col("__c"))
+    d = d.withColumn("__new", F.coalesce(F.col(start) > reach, F.lit(True)).cast("int")).drop("__b", "__c")
+    d = running_sum(d, keys, [start, end], "__new", "__run")
     return d.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n")).drop("__run")
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stavework.plans import nested_queries, score_queries
+from stavework.plans import check_queries, nested_queries, score_queries
 
-_MODULES = (score_queries, nested_queries)
+_MODULES = (score_queries, check_queries, nested_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

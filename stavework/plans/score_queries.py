@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stavework.functions import labels, music, rational, text
 from stavework.operators import aggregates, calibration, checks, engraving, matching, repairs, sets, state, windows
-from stavework.runtime import latest, load
+from stavework.runtime import join_by_key, latest, load
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,11 +99,11 @@ def issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.groupBy("i.kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("measure_no").alias("n_measures"))
 
 
-@query(f"WITH {_M}, i AS (SELECT measure_no, unnest(issues) AS i FROM m) SELECT i.kind AS kind, i.detail AS detail, list(measure_no ORDER BY measure_no) AS at FROM i WHERE i.kind = 'rhythm' GROUP BY ALL")
+@query(f"WITH {_M}, i AS (SELECT measure_no, unnest(issues) AS i FROM m) SELECT i.kind AS kind, i.detail AS detail, row_number() OVER (PARTITION BY i.kind, i.detail ORDER BY measure_no) AS place, measure_no FROM i")
 def issues_by_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal issues with the measures that have them, in order."""
-    i = measures(spark, sf_dir, "issues").select("measure_no", F.explode("issues").alias("i")).select("measure_no", "i.kind", "i.detail").filter("kind = 'rhythm'")
-    return aggregates.grouped_in_order(i, ["kind", "detail"], "measure_no", "measure_no", "at")
+    """Equal issues with the measures that have them, numbered in order; one row each, as an issue may be in a third of all."""
+    i = measures(spark, sf_dir, "issues").select("measure_no", F.explode("issues").alias("i")).select("measure_no", "i.kind", "i.detail")
+    return aggregates.numbered_in_order(i, ["kind", "detail"], "measure_no", "place")
 
 
 @query(f"WITH {_M} SELECT measure_no, coalesce(nullif(m_number, ''), CAST(m_idx + 1 AS VARCHAR)) AS label FROM m")
@@ -637,9 +637,11 @@ def rhythm_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits that make voices fill their score's usual length; a search, so no SQL."""
     t = timed(spark, sf_dir, "kind", "dots", "tuplet", "confidence").filter("NOT grace")
     usual = aggregates.bounded_mode(checks.voice_lengths(t), ["score_id"], "total", 1, 2**62, "expected")
-    w = Window.partitionBy("score_id")
-    t = t.join(usual, "score_id").withColumn("plain", (F.col("kind") != "rest") & (F.col("dots") == 0) & F.col("tuplet").isNull()).withColumn("edge", (F.col("m_idx") == 0) | (F.col("m_idx") == F.max("m_idx").over(w)))
-    return repairs.rhythm_repairs(t)
+    score = t.groupBy("score_id").agg(F.max("m_idx").alias("last_idx"), F.count(F.lit(1)).alias("n"))
+    score = score.join(usual, "score_id").withColumnRenamed("score_id", "k_score_id")
+    t = join_by_key(t, score, ["score_id"], "n", load(spark, sf_dir, "score_event").count())
+    t = t.withColumn("plain", (F.col("kind") != "rest") & (F.col("dots") == 0) & F.col("tuplet").isNull()).withColumn("edge", (F.col("m_idx") == 0) | (F.col("m_idx") == F.col("last_idx")))
+    return repairs.rhythm_repairs(t.drop("last_idx", "n"))
 
 
 @query()
