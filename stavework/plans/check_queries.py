@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavework.functions import music, rational, text
-from stavework.operators import aggregates, calibration, checks, matching, repairs, sets, state, windows
+from stavework.operators import aggregates, calibration, checks, keys, matching, placement, repairs, sets, state, windows
 from stavework.plans.score_queries import _E, _M, _N, _P, _S, _TOK, _V, MEASURE, STAFF, VOICE, events, measures, notes, samples, timed
 from stavework.runtime import load
 
@@ -234,3 +234,60 @@ def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = lambda name: F.col("x")[calibration.FEATURES.index(name)]
     f = calibration.features(t)
     return f.select("event_no", x("no_grade").alias("no_grade"), x("grade_below_0_8").alias("below"), x("rest").alias("rest"), F.round(x("measure_min_grade"), 6).alias("measure_min"), F.round(x("staff_mean_grade") + 1e-9, 6).alias("staff_mean"), F.round(x("score_mean_grade") + 1e-9, 6).alias("score_mean"), F.round(x("score_located") + 1e-9, 6).alias("located"))
+
+
+# --- keys and places
+
+
+_KEYS = "CASE WHEN len(issues) > 0 THEN len(issues) % 3 END"
+
+
+@query(
+    f"""WITH {_M}, k AS (SELECT measure_no, score_id, lower(trim(part)) AS part, staff, m_idx, {_KEYS} AS fifths, m_idx % 32 = 0 AS new_piece, m_idx % 4 = 0 AS at_system, m_idx % 8 = 0 AS double_bar FROM m),
+    f AS (SELECT *, coalesce(last_value(fifths IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS key, coalesce(last_value(fifths IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER w = 1 AS head FROM k WINDOW w AS (PARTITION BY score_id, part, staff ORDER BY m_idx, measure_no)),
+    c AS (SELECT *, coalesce(fifths <> before, false) AS changed, new_piece OR head AS piece FROM f)
+    SELECT measure_no, CAST(key AS BIGINT) AS key, CAST(sum(CASE WHEN piece OR changed AND (NOT at_system OR double_bar) THEN 1 ELSE 0 END) OVER w AS BIGINT) AS stretch, CAST(sum(CASE WHEN piece OR changed OR at_system THEN 1 ELSE 0 END) OVER w AS BIGINT) AS segment
+    FROM c WINDOW w AS (PARTITION BY score_id, part, staff ORDER BY m_idx, measure_no ROWS UNBOUNDED PRECEDING)"""
+)
+def key_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two levels of runs; the number of issues stands for the key read, every fourth measure begins a system."""
+    m = measures(spark, sf_dir, "score_id", "part", "staff", "m_idx", "issues").withColumn("part", F.lower(F.trim("part")))
+    every = lambda n: F.col("m_idx") % n == 0
+    m = m.select("measure_no", "score_id", "part", "staff", "m_idx", F.when(F.size("issues") > 0, F.size("issues") % 3).cast("bigint").alias("fifths"), every(32).alias("new_piece"), every(4).alias("at_system"), every(8).alias("double_bar"))
+    return keys.stretches(m, ["score_id", "part", "staff"], ["m_idx", "measure_no"]).select("measure_no", "key", "stretch", "segment")
+
+
+@query(
+    f"""WITH {_E}, r AS (SELECT score_id, part_ord, m_idx, max(dots) AS v FROM e GROUP BY ALL), n AS (SELECT score_id, m_idx, v, count(*) AS k, min(part_ord) AS f FROM r GROUP BY ALL),
+    o AS (SELECT *, sum(k) OVER (PARTITION BY score_id, m_idx) AS a, row_number() OVER (PARTITION BY score_id, m_idx ORDER BY k DESC, f) AS r FROM n), j AS (SELECT score_id, m_idx, CASE WHEN a >= 2 AND k * 2 > a THEN v END AS maj FROM o WHERE r = 1),
+    t AS (SELECT *, row_number() OVER w > 1 AND maj IS DISTINCT FROM lag(maj) OVER w AS turn FROM j WINDOW w AS (PARTITION BY score_id ORDER BY m_idx)),
+    d AS (SELECT r.*, t.maj, t.turn, coalesce(u.turn, false) AS after, coalesce(r.v <> t.maj, false) AS differs FROM r JOIN t ON r.score_id = t.score_id AND r.m_idx = t.m_idx LEFT JOIN t u ON u.score_id = r.score_id AND u.m_idx = r.m_idx + 1),
+    b AS (SELECT *, CASE WHEN differs AND NOT coalesce(lag(differs) OVER w AND lag(maj) OVER w = maj, false) THEN 1 ELSE 0 END AS fresh FROM d WINDOW w AS (PARTITION BY score_id, part_ord ORDER BY m_idx)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY score_id, part_ord ORDER BY m_idx ROWS UNBOUNDED PRECEDING) AS run FROM b)
+    SELECT score_id, part_ord, min(m_idx) AS first, max(m_idx) AS last, any_value(maj) AS majority FROM g WHERE differs GROUP BY score_id, part_ord, run HAVING NOT arg_min(turn, m_idx) AND NOT arg_max(after, m_idx)"""
+)
+def differing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of measures in which a part differs from the others; the most dots of a measure stand for the key."""
+    r = events(spark, sf_dir, "score_id", "part_ord", "m_idx", "dots").groupBy("score_id", "part_ord", "m_idx").agg(F.max("dots").alias("v"))
+    j = aggregates.majority(r, ["score_id", "m_idx"], "v", "part_ord")
+    return keys.differing_runs(r, j, "score_id", "part_ord", "m_idx", "v")
+
+
+@query(
+    f"""WITH {_M}, s AS (SELECT score_id, bbox.page AS page, bbox.x AS x, max(bbox.w) AS w FROM m WHERE bbox IS NOT NULL GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY score_id ORDER BY page, x) - 1 AS ordinal FROM s)
+    SELECT measure_no, o.page AS page, round(o.x, 4) AS x, round(o.w, 4) AS w FROM m LEFT JOIN o ON m.score_id = o.score_id AND m.m_idx = o.ordinal"""
+)
+def placed_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each measure on the stack of its number; the distinct places of boxes are the stacks."""
+    m = measures(spark, sf_dir, "score_id", "m_idx", "bbox")
+    s = m.filter("bbox IS NOT NULL").groupBy("score_id", F.col("bbox.page").alias("page"), F.col("bbox.x").alias("x")).agg(F.max("bbox.w").alias("w"))
+    s = placement.number_stacks(s, "score_id", ["page", "x"])
+    return placement.place_measures(m, s, "score_id", "m_idx").select("measure_no", "stack.page", F.round("stack.x", 4).alias("x"), F.round("stack.w", 4).alias("w"))
+
+
+@query(f"WITH {_E}, {_M}, w AS (SELECT DISTINCT score_id, staff_no FROM e), p AS (SELECT DISTINCT score_id, CAST(staff AS INT) AS staff_no FROM m WHERE bbox IS NOT NULL) SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.score_id = w.score_id AND p.staff_no = w.staff_no)")
+def unmapped_staves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staves of scores that no box on the page stands for."""
+    w = events(spark, sf_dir, "score_id", "staff_no").select("score_id", "staff_no").distinct()
+    p = measures(spark, sf_dir, "score_id", "staff", "bbox").filter("bbox IS NOT NULL").select("score_id", F.col("staff").cast("int").alias("staff_no")).distinct()
+    return placement.place_staves(w, p, ["score_id", "staff_no"])[1]
