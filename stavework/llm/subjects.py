@@ -108,13 +108,13 @@ class Rules:
         return self.curve[max(0, bisect_right(self.curve, (score, math.inf)) - 1)][1]
 
     def subjects(self, words: list[str]) -> list[tuple[str, float]]:
-        """The subjects with their probabilities; the rest's is that of no other subject."""
+        """The subjects with their probabilities; without any the rest's, which is that of no other subject."""
         scores = self.scores(words)
         found = sorted((s, self.probability(x)) for s, x in scores.items() if x >= self.threshold)
         return found or [(self.rest, 1 - max((self.probability(x) for x in scores.values()), default=0.0))]
 
 
-def prune(mined: Mined, shares: dict[str, list[int]], rest: str, without: int | None = None) -> list[tuple[tuple[str, ...], str, float]]:
+def prune(mined: Mined, shares: dict[str, list[int]], without: int | None = None) -> list[tuple[tuple[str, ...], str, float]]:
     """Rules of the mined itemsets, counted over all folds but one; a rule that is hardly surer than one with fewer of the same words is dropped."""
     keep = [f for f in range(FOLDS) if f != without]
     total = sum(sum(n[f] for f in keep) for n in shares.values())
@@ -124,7 +124,7 @@ def prune(mined: Mined, shares: dict[str, list[int]], rest: str, without: int |
         subject, n, of = mined[words]
         n, of = sum(n[f] for f in keep), sum(of[f] for f in keep)
         weight = evidence(n, of, sum(shares[subject][f] for f in keep) / total, len(words)) if total and of else None
-        if weight is None or subject == rest:
+        if weight is None:
             continue
         here = lower_bound(n, of)
         if any(sure.get((k, subject), -1.0) >= here - GAIN for size in range(1, len(words)) for k in combinations(words, size)):
@@ -239,10 +239,10 @@ def learn(docs: DataFrame, labels: DataFrame, rest: str = "software", max_labell
         if least <= lower_bound(r["n"], r["df"]) < lower_bound(r["n"], r["n"]) - GAIN:
             rank[r["word"]] = -r["df"], r["word"]
     mined.update(_longer(one, rank))
-    rules = [prune(mined, shares, rest, f) for f in range(FOLDS)]
+    rules = [prune(mined, shares, f) for f in range(FOLDS)]
     threshold, curve = _calibrate(known, [Rules(r, 1.0, rest) for r in rules], rest)
     drop_table(known)
-    return Rules(prune(mined, shares, rest), threshold, rest, curve)
+    return Rules(prune(mined, shares), threshold, rest, curve)
 
 
 def _longer(one: DataFrame, rank: dict[str, tuple[int, str]]) -> Mined:
@@ -337,8 +337,8 @@ def _calibrate(known: DataFrame, rules: list[Rules], rest: str) -> tuple[float,
 def find_subjects(docs: DataFrame, rules: Rules) -> DataFrame:
     """(doc_id, subject, probability), one row for each subject of each row of ``docs(doc_id, text)``; at least one.
 
-    A narrow scan of whole texts with the rules sent to the workers. Null and empty texts, and texts about no subject,
-    get the rest's.
+    A narrow scan of whole texts with the rules sent to the workers. The rest is a subject like the others, and also that
+    of null and empty texts and of texts about no other.
     """
     kind = dict(docs.dtypes)["doc_id"]
     shared = Shared(docs.sparkSession, rules)

@@ -83,12 +83,14 @@ def test_grow_finds_all_itemsets(monkeypatch):
 
 def test_parts():
     shares = {"x": [20] * FOLDS, "y": [80] * FOLDS, "software": [100] * FOLDS}
-    mined = {("a",): ("x", [10] * 5, [10] * 5), ("a", "b"): ("x", [9] * 5, [9] * 5), ("c", "d"): ("x", [2] * 5, [2] * 5), ("e",): ("x", [1, 1, 0, 0, 0], [1, 1, 0, 0, 0]), ("f",): ("software", [9] * 5, [9] * 5), ("g",): ("x", [5] * 5, [10] * 5)}
-    assert [k for k, *_ in prune(mined, shares, "software")] == [("a",), ("e",), ("c", "d")]
-    assert [k for k, *_ in prune(mined, shares, "software", without=0)] == [("a",), ("c", "d")]
+    mined = {("a",): ("x", [10] * 5, [10] * 5), ("a", "b"): ("x", [9] * 5, [9] * 5), ("c", "d"): ("x", [2] * 5, [2] * 5), ("e",): ("x", [1, 1, 0, 0, 0], [1, 1, 0, 0, 0]), ("f",): ("software", [4] * 5, [9] * 5), ("g",): ("x", [5] * 5, [10] * 5)}
+    assert [k for k, *_ in prune(mined, shares)] == [("a",), ("e",), ("c", "d")]
+    assert [k for k, *_ in prune(mined, shares, without=0)] == [("a",), ("c", "d")]
     assert evidence(1, 1, 0.1) is None and evidence(2, 2, 0.1) > 0 and evidence(2, 2, 0.1, words=2) is None and lower_bound(50, 50) > 0.94
     assert without_header("// Copyright 2020 X.\n// Licence terms.\n\ncode law") == "\ncode law" and without_header("# a note\ncode") == "# a note\ncode" and without_header("Licence of X\n1. law") == "Licence of X\n1. law"
     assert own_words("fooBar_baz QUX2x") == ["foo", "bar", "baz", "qux"] and own_words(None) == []
     r = Rules([(("ledger",), "finance", 0.9), (("pitch", "umpire"), "sport", 0.8)], 1.5, "software", [(0.0, 0.0), (1.0, 0.25), (1.5, 0.75)])
     assert r.subjects(["ledger", "ledger"]) == [("finance", 0.75)] and r.subjects(["ledger"]) == [("software", 1.0)] and r.subjects(["ledger", "pitch", "umpire"]) == [("software", 1.0)]
+    own = Rules([(("mutex",), "software", 1.0), (("ledger",), "finance", 1.0)], 1.5, "software")
+    assert [x for x, _ in own.subjects(["mutex", "mutex", "ledger", "ledger"])] == ["finance", "software"]
     assert r.scores(["pitch", "umpire", "pitch", "umpire"]) == {"sport": 0.8}
