@@ -59,11 +59,12 @@ def chord_spans(chords: DataFrame, score: str, ends: DataFrame, ticks: int) -> D
 
 
 def part_slugs(parts: DataFrame, score: str) -> DataFrame:
-    """A file name for each part; parts of one name get A, B, ... in order."""
+    """A file name for each part; parts of one name get a to z, aa to zz, then numbers in order."""
     d = parts.withColumn("__s", F.coalesce(F.nullif(slug(F.coalesce("name", F.lit(""))), F.lit("")), F.lit("part")))
     w = Window.partitionBy(score, "__s")
     n, k = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy("part_ord"))
-    return d.withColumn("slug", F.when(n > 1, F.concat("__s", F.lit("-"), F.chr(96 + k))).otherwise(F.col("__s"))).drop("__s")
+    letter = F.when(k <= 26, F.chr(96 + k)).when(k <= 702, F.concat(F.chr(96 + F.floor((k - 1) / 26)), F.chr(97 + (k - 1) % 26))).otherwise(k.cast("string"))
+    return d.withColumn("slug", F.when(n > 1, F.concat("__s", F.lit("-"), letter)).otherwise(F.col("__s"))).drop("__s")
 
 
 def without_lyrics(layout: DataFrame, voices: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stavework.operators import checks, keys, matching, placement
+from stavework.operators import checks, engraving, keys, matching, placement
 
 
 def test_stretches(spark):
@@ -40,3 +40,9 @@ def test_lookups(spark):
     both = matching.by_ordinal(spark.createDataFrame([("x", 1, 5)], "s string, o int, v int"), spark.createDataFrame([("x", 1, 6), ("x", 2, 7)], "s string, o int, v int"), ["s"], "o", "v")
     assert {tuple(r) for r in both.collect()} == {("x", 1, 5, 6), ("x", 2, None, 7)}
     assert both.filter(F.lit(False)).count() == 0
+
+
+def test_many_parts_of_one_name(spark):
+    df = spark.range(710).select(F.lit("x").alias("score_id"), F.col("id").alias("part_ord"), F.when(F.col("id") < 709, "Viola").alias("name"))
+    got = {r.part_ord: r.slug for r in engraving.part_slugs(df, "score_id").collect()}
+    assert [got[k] for k in (0, 25, 26, 27, 701, 702, 709)] == ["viola-a", "viola-z", "viola-aa", "viola-ab", "viola-zz", "viola-703", "part"]
