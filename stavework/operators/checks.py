@@ -52,12 +52,13 @@ def rhythm_check(measures: DataFrame, voices: DataFrame) -> DataFrame:
     return v.filter(bad).select(*STAFF, "m_idx", measure_label(F.col("m_number"), F.col("m_idx")).alias("measure"), "voice_no", "expected", F.col("total").alias("actual"))
 
 
-def range_check(notes: DataFrame) -> DataFrame:
+def range_check(notes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """A5: notes outside their part's range. ``notes`` has part_name, abbreviation, step, alter, octave and any keys.
 
-    The patterns are matched once for each distinct name, not for each note.
+    The patterns are matched once for each distinct name, not for each note. ``names(part_name, abbreviation)``, where
+    given, holds all names at least: then the notes are read once.
     """
-    names = notes.select("part_name", "abbreviation").distinct().withColumn("__r", text.instrument_range(F.col("part_name"), F.col("abbreviation")))
+    names = (notes if names is None else names).select("part_name", "abbreviation").distinct().withColumn("__r", text.instrument_range(F.col("part_name"), F.col("abbreviation")))
     names = names.select(F.col("part_name").alias("__n"), F.col("abbreviation").alias("__a"), "__r.*")
     d = notes.join(names, F.col("part_name").eqNullSafe(F.col("__n")) & F.col("abbreviation").eqNullSafe(F.col("__a")))
     d = d.withColumn("midi", music.midi(F.col("step"), F.col("alter"), F.col("octave"))).filter((F.col("midi") < F.col("lo")) | (F.col("midi") > F.col("hi")))

@@ -138,7 +138,8 @@ def _case(rules: tuple, column: str) -> str:
 def range_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes outside their part's range."""
     n = notes(spark, sf_dir, "part_name").withColumn("abbreviation", F.lit(None).cast("string"))
-    return checks.range_check(n).select("event_no", "midi", "rule", "lo", "hi")
+    names = load(spark, sf_dir, "score_event").select("part_name", F.lit(None).cast("string").alias("abbreviation"))
+    return checks.range_check(n, names).select("event_no", "midi", "rule", "lo", "hi")
 
 
 @query(
